@@ -44,6 +44,6 @@ def kept(df: DataFrame, what: str = "table") -> DataFrame:
     executor costs no more than the tasks that it ran. Deleted when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

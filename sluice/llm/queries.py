@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, token_counts
-from .common import table
+from . import bpe, media, simhash, token_counts
+from .common import kept, table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = kept(media.media_column(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_simhash": op5_simhash,
+        "op9_telephony": op9_telephony,
     }
 
 
