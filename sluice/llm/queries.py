@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, simhash, token_counts
-from .common import kept, table
+from . import bpe, langid, media, simhash, token_counts
+from .common import bucket_of, kept, table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +29,19 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 4) != 2))
+    return langid.identify(docs, model).select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_simhash": op5_simhash,
         "op9_telephony": op9_telephony,
+        "op10_language_id": op10_language_id,
     }
 
 
