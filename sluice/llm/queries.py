@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, simhash, token_counts
+from . import bpe, langid, media, mixing, simhash, substring_dedup, token_counts
 from .common import bucket_of, kept, table
 
 
@@ -24,6 +24,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"), window=35)
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = kept(media.media_column(table(spark, sf_dir, "documents")), "media")
     return media.media_features(stored)
@@ -40,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_simhash": op5_simhash,
+        "op6_mixing": op6_mixing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_telephony": op9_telephony,
         "op10_language_id": op10_language_id,
     }
