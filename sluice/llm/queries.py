@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, simhash, substring_dedup, token_counts
+from . import bpe, langid, media, mixing, simhash, substring_dedup, token_counts, warc
 from .common import bucket_of, kept, table
 
 
@@ -32,6 +32,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"), window=35)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = kept(media.media_column(table(spark, sf_dir, "documents")), "media")
     return media.media_features(stored)
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_mixing": op6_mixing,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_warc": op8_warc,
         "op9_telephony": op9_telephony,
         "op10_language_id": op10_language_id,
     }
