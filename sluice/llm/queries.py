@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality_rules, simhash, substring_dedup, token_counts, warc
+from . import bpe, langid, media, mixing, quality_rules, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import bucket_of, kept, table
 
 
@@ -16,6 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    # Labels are drawn before their texts are read: the sample is bounded, so it may be broadcast.
+    drawn = toxicity.drawn_labels(labels)
+    model = toxicity.fit_sample(toxicity.labelled_sample(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -55,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_simhash": op5_simhash,
