@@ -140,3 +140,22 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+
+
+def in_known_language(df: DataFrame, model: Model, min_score: float = 0.1, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, whose text is in a learned
+    language with a score of min_score or more."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence = Presence(model.vocabulary) if model.languages else None
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = np.zeros(len(texts), bool)
+            with_letter = [k for k, t in enumerate(texts) if t and _letter(t)] if model.languages else []
+            for k in range(0, len(with_letter), BATCH):
+                part = with_letter[k : k + BATCH]
+                keep[part] = model.score(presence, [texts[i] for i in part]).max(axis=1) >= min_score
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
