@@ -137,7 +137,7 @@ def profile_lines(lines: list[str], name: str = "", compat: str = "documented")
 def profile_bytes(head: bytes, name: str = "", compat: str = "documented", complete: bool = True) -> Profile:
     """From a file's first bytes; a line that is cut off is left out."""
     encoding, sure = detect(head)
-    text = head.decode(named(encoding) or encoding, "replace").removeprefix("﻿")
+    text = head.decode(named(encoding) or encoding, "replace").removeprefix("\ufeff")
     lines = text.split("\n")
     if not complete or lines[-1] == "":
         lines = lines[:-1] or lines

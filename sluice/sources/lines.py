@@ -50,7 +50,7 @@ def scan_lines(spark: SparkSession, paths: list[str], encoding: str = "utf-8", k
         lines = files.select("path", F.posexplode(F.split(text, "\n", -1)).alias("at", "content"), F.size(F.split(text, "\n", -1)).alias("n"))
         lines = lines.where((F.col("at") + 1 < F.col("n")) | (F.col("content") != "")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "content")
         content = F.col("content")
-    content = F.when(F.col("line_no") == 1, F.regexp_replace(content, "^﻿", "")).otherwise(content)
+    content = F.when(F.col("line_no") == 1, F.regexp_replace(content, "^\ufeff", "")).otherwise(content)
     content = content if keep_cr else F.regexp_replace(content, r"\r\z", "")
     return _with_index(spark, lines.select("path", "line_no", content.alias("content")), paths)
 

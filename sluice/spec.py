@@ -77,7 +77,7 @@ class MergeSpec:
     def from_options(cls, options: dict[str, object]) -> MergeSpec:
         """From flat options, named as the command line's; names not known are errors."""
         o = dict(options)
-        pick = lambda kind, **names: kind(**{k: o.pop(n) for k, n in names.items() if n in o})
+        pick = lambda record, **names: record(**{k: o.pop(n) for k, n in names.items() if n in o})
         if "dedup" in o:
             o["dedup"] = chosen(DEDUP_KEYS, str(o["dedup"]))
         if "dedup_keep" in o:
