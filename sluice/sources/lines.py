@@ -57,9 +57,13 @@ def scan_lines(spark: SparkSession, paths: list[str], encoding: str = "utf-8", k
 
 def _with_index(spark: SparkSession, lines: DataFrame, paths: list[str]) -> DataFrame:
     names = spark.createDataFrame([(k, p, os.path.abspath(p) if "://" not in p else p) for k, p in enumerate(paths)], "file_idx int, given string, full string")
-    full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    decoded_path = F.when(F.col("path").startswith("file:"), F.try_url_decode(F.replace(full, F.lit("+"), F.lit("%2B")))).otherwise(full)
-    return lines.withColumn("full", decoded_path).join(names, "full").select("file_idx", F.col("given").alias("path"), "line_no", "content")
+    return lines.withColumn("full", plain_path(F.col("path"))).join(names, "full").select("file_idx", F.col("given").alias("path"), "line_no", "content")
+
+
+def plain_path(uri: Column) -> Column:
+    """The path of a local file's URI; others stay."""
+    escaped = F.replace(F.regexp_replace(uri, "^file:/+", "/"), F.lit("+"), F.lit("%2B"))
+    return F.when(uri.startswith("file:"), F.try_url_decode(escaped)).otherwise(uri)
 
 
 def scan_bytes(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -68,7 +72,7 @@ def scan_bytes(spark: SparkSession, paths: list[str]) -> DataFrame:
     shown, hidden = [p for p in paths if not _hidden(p)], [p for p in paths if _hidden(p)]
     out = spark.createDataFrame([], "path string, content binary")
     if shown:
-        out = spark.read.format("binaryFile").load(shown).select("path", "content")
+        out = spark.read.format("binaryFile").load(shown).select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
     if hidden:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
