@@ -90,7 +90,8 @@ def csv_fields(line: Column, delimiter: str = ",") -> Column:
     plain = rf'[^"{d}]*+'
     pattern = rf'{d}({plain}(?:"[^"]*+(?:""[^"]*+)*+(?:"|\z){plain})*+)'
     fields = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(pattern), F.lit(1))
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.transform(fields, unquoted))
+    # Most lines have no quote: for them a plain split is the same and faster.
+    return F.when(line == "", F.array().cast("array<string>")).when(~line.contains('"'), split_literal(line, delimiter)).otherwise(F.transform(fields, unquoted))
 
 
 def csv_line(fields: Column, delimiter: str = ",") -> Column:

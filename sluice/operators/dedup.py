@@ -7,20 +7,27 @@ input costs one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, column_range, csv_fields, csv_line
+from ..functions.text import ascii_lower, column_range, csv_fields
 from ..spec import DedupSpec
 
 
-def dedup_key(c: Column, spec: DedupSpec, compat: str = "documented") -> Column:
-    """What makes two lines duplicates. Fields are joined as CSV; in observed
-    compatibility unquoted, so that different fields may collide."""
-    if spec.key == "columns":
-        some = column_range(csv_fields(c, spec.delimiter), spec.first, spec.last)
-        c = F.array_join(some, spec.delimiter) if compat == "observed" else csv_line(some, spec.delimiter)
-    return ascii_lower(c) if spec.ignore_case else c
+def with_key(lines: DataFrame, spec: DedupSpec, column: str = "content", compat: str = "documented") -> DataFrame:
+    """Adds _key, what makes two lines duplicates: the line, or the array of its
+    fields in the range (in observed compatibility joined unquoted, so that
+    different fields may collide). The fields are a column of their own first,
+    so that a line is split once."""
+    if spec.key != "columns":
+        return lines.withColumn("_key", ascii_lower(F.col(column)) if spec.ignore_case else F.col(column))
+    key = column_range(F.col("_fields"), spec.first, spec.last)
+    if compat == "observed":
+        key = F.array_join(key, spec.delimiter)
+        key = ascii_lower(key) if spec.ignore_case else key
+    elif spec.ignore_case:
+        key = F.transform(key, ascii_lower)
+    return lines.withColumn("_fields", csv_fields(F.col(column), spec.delimiter)).withColumn("_key", key).drop("_fields")
 
 
 def deduplicated(lines: DataFrame, spec: DedupSpec, order: list[str], column: str = "content", compat: str = "documented") -> DataFrame:
@@ -30,7 +37,7 @@ def deduplicated(lines: DataFrame, spec: DedupSpec, order: list[str], column: st
     keep = "first" if compat == "observed" and spec.keep in ("last", "all") else spec.keep
     if spec.key == "none" or keep == "all":
         return lines
-    keyed = lines.withColumn("_key", dedup_key(F.col(column), spec, compat))
+    keyed = with_key(lines, spec, column, compat)
     down = [F.col(c).desc() for c in order]
     rank = lambda by: F.row_number().over(Window.partitionBy("_key").orderBy(*by))
     if keep == "last_in_place":
@@ -42,5 +49,5 @@ def deduplicated(lines: DataFrame, spec: DedupSpec, order: list[str], column: st
 
 def duplicate_counts(lines: DataFrame, spec: DedupSpec, column: str = "content") -> DataFrame:
     """One row: n_lines, n_unique, n_duplicates."""
-    per_key = lines.groupBy(dedup_key(F.col(column), spec).alias("_key")).agg(F.count("*").alias("n"))
+    per_key = with_key(lines, spec, column).groupBy("_key").agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_lines"), F.count("*").alias("n_unique"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import dedup_key
+from ..operators.dedup import with_key
 from ..operators.filters import filtered
 from ..spec import DedupSpec, FilterSpec, TimestampSpec
 from ..functions.timestamps import timestamp_of
@@ -25,5 +25,5 @@ def cleaned(lines: DataFrame, filters: FilterSpec, dedup: DedupSpec | None = Non
         return out
     t = times or TimestampSpec()
     ts = F.coalesce(timestamp_of(F.col("content"), t.kind, t.column, t.delimiter, t.pattern, t.epoch_ms, t.honor_tz), F.timestamp_seconds(F.lit(0)))
-    keyed = out.withColumn("ts", ts).withColumn("key", dedup_key(F.col("content"), dedup))
+    keyed = with_key(out.withColumn("ts", ts), dedup).withColumnRenamed("_key", "key")
     return keyed.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
