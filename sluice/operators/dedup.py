@@ -7,7 +7,7 @@ input costs one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, column_range, csv_fields
@@ -51,3 +51,14 @@ def duplicate_counts(lines: DataFrame, spec: DedupSpec, column: str = "content")
     """One row: n_lines, n_unique, n_duplicates."""
     per_key = with_key(lines, spec, column).groupBy("_key").agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_lines"), F.count("*").alias("n_unique"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+
+
+def cleaned_counts(lines: DataFrame, stays: Column, spec: DedupSpec, column: str = "content") -> DataFrame:
+    """One row of what a filter and then a search for duplicates leave of lines:
+    n_in, n_filtered, n_duplicates, n_out. One pass: keys are counted, not kept."""
+    marked = with_key(lines.withColumn("_stays", F.coalesce(stays, F.lit(False))), spec, column)
+    per_key = marked.groupBy(F.when(F.col("_stays"), F.col("_key")).alias("_key"), "_stays").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    unique = 0 if spec.key == "none" else F.when(F.col("_stays"), F.col("n") - 1).otherwise(0)
+    out = per_key.agg(total("n").alias("n_in"), total(F.when(~F.col("_stays"), F.col("n"))).alias("n_filtered"), total(F.lit(unique) if spec.key == "none" else unique).alias("n_duplicates"))
+    return out.withColumn("n_out", F.col("n_in") - F.col("n_filtered") - F.col("n_duplicates"))

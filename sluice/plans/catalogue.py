@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encodings, sniff, text
-from ..functions.timestamps import timestamp_of
+from ..functions.timestamps import iso_text, timestamp_of
 from ..operators import dedup, filters, join, merge, profile
 from ..spec import DedupSpec, FilterSpec, MergeSpec, TimestampSpec
 
@@ -235,6 +235,29 @@ def merge_filter_dedup(spark: SparkSession, d: str) -> DataFrame:
     return merge.numbered(merge.merged(lines, spec), merge.ORDER).select("seq", "content")
 
 
+@query("clean_counts", f"""WITH {_LINES}, f AS (SELECT content, regexp_matches(content, '[^ \\t\\n\\x0b\\f\\r]') AND NOT contains(content, 'que') AS stays FROM lines)
+SELECT count(*) AS n_in, count(*) FILTER (NOT stays) AS n_filtered, count(*) FILTER (stays) - count(DISTINCT content) FILTER (stays) AS n_duplicates, count(DISTINCT content) FILTER (stays) AS n_out FROM f""")
+def clean_counts(spark: SparkSession, d: str) -> DataFrame:
+    stays = filters.condition(F.col("content"), FilterSpec(skip_blank=True, exclude=("que",)))
+    return dedup.cleaned_counts(_doc_lines(spark, d), stays, DedupSpec("line"))
+
+
+@query("wildcard_match", _WHERE + "content LIKE 'The%tion_'")
+def wildcard_match(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_lines(spark, d).where(F.col("content").rlike(text.wildcard("The*tion?")))
+
+
+@query("pad_rows", "SELECT r_regionkey, concat_ws(',', r_regionkey, r_name) || ',,' AS content FROM region")
+def pad_rows(spark: SparkSession, d: str) -> DataFrame:
+    fields = F.array(F.col("r_regionkey").cast("string"), F.col("r_name"))
+    return _table(spark, d, "region").select("r_regionkey", text.csv_line(text.padded(fields, 4)).alias("content"))
+
+
+@query("ts_format", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN (epoch_us(ts) // 1000) % 1000 > 0 THEN strftime(ts, '.%g') ELSE '' END || 'Z' AS iso FROM events")
+def ts_format(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", iso_text(F.col("ts").cast("timestamp")).alias("iso"))
+
+
 # ---- fields ----------------------------------------------------------------
 @query("csv_roundtrip", """
 SELECT page_id, 2::BIGINT AS n_fields, true AS same, length(q(url)) + length(q(html)) + 1 AS n_chars FROM (SELECT * FROM pages)""".replace("q(url)", "CASE WHEN regexp_matches(url, '[\",\\n\\r]') THEN '\"' || replace(url, '\"', '\"\"') || '\"' ELSE url END").replace("q(html)", "CASE WHEN regexp_matches(html, '[\",\\n\\r]') THEN '\"' || replace(html, '\"', '\"\"') || '\"' ELSE html END"))

@@ -118,6 +118,9 @@ def test_listing_and_binary(spark, folder):
     assert plans.merge_to_file(spark, inputs, MergeSpec(mode="binary"), str(folder.path / "out")) == {"n_bytes": 4}
     assert (folder.path / "out").read_bytes() == b"\x00\x01\xff\n"
     assert spark.createDataFrame([(bytearray(b"123456789"),)], "content binary").select(F.hex(F.crc32("content"))).first()[0] == "CBF43926"
+    scanned = lines.scan_bytes(spark, [*inputs, *folder(d__bin=b"\x00\x01")])
+    assert tuple(merge.same_content(scanned, inputs[0], str(folder.path / "d.bin")).first()) == (True, True)
+    assert tuple(merge.same_content(scanned, inputs[0], inputs[2]).first()) == (True, False) and not merge.same_content(scanned, inputs[0], "none").first()[0]
     with pytest.raises(plans.MergeError):
         plans.merge_files(spark, [str(folder.path / "no")], MergeSpec())
 
