@@ -28,15 +28,15 @@ def quoted(literal: str) -> str:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def trim_left(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+", "")
+    return F.ltrim(c, F.lit(SPACE))
 
 
 def trim_right(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+\z", "")
+    return F.rtrim(c, F.lit(SPACE))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -48,7 +48,7 @@ def ascii_upper(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.rlike(r"^\s*\z")
+    return trim_space(c) == ""
 
 
 def contains_ignoring_case(c: Column, literal: str) -> Column:

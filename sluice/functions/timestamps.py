@@ -9,10 +9,10 @@ from .text import split_literal, trim_space
 
 #: The shapes of timestamps that are looked for.
 UNIX = r"(?<![0-9A-Za-z_])(\d{10,13})(?:\.\d+)?(?![0-9A-Za-z_])"
-ISO_DATETIME = r"(\d{4})-(\d{1,2})-(\d{1,2})[T\s](\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d+))?(?:[+-]\d{2}:?\d{2}|Z)?"
-ISO_DATE = r"(\d{4})-(\d{1,2})-(\d{1,2})"
-RFC = r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{4})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})\s+([+-]\d{4})"
-CUSTOM = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T\s](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\.(\d+))?)?"
+ISO_DATETIME = r"\d{4}-\d{1,2}-\d{1,2}[T\s]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?"
+ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
+RFC = r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+[+-]\d{4}"
+CUSTOM = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T\s]\d{1,2}:\d{1,2}(?::\d{1,2})?(?:\.\d+)?)?"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
@@ -23,12 +23,13 @@ def made(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, ms:
     return F.timestamp_millis(((days * 24 + h) * 60 + mi) * 60_000 + s * 1000 + ms)
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(c, pattern, group)
-    return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))
+def _number(parts: Column, k: int) -> Column:
+    """A part as a whole number; 0 where it is missing."""
+    return F.coalesce(F.get(parts, F.lit(k)).cast("int"), F.lit(0))
 
 
 def _millis(fraction: Column, least: int = 1) -> Column:
+    """Milliseconds of the digits after the point; 0 if fewer than least."""
     digits = F.rpad(F.substring(fraction, 1, 3), 3, "0").cast("int")
     return F.when(F.length(fraction) >= least, digits).otherwise(F.lit(0))
 
@@ -45,22 +46,24 @@ def unix_time(c: Column, epoch_ms: bool = True) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    p = lambda k: _part(c, ISO_DATETIME, k)
-    full = made(p(1), p(2), p(3), p(4), p(5), p(6), _millis(F.regexp_extract(c, ISO_DATETIME, 7)))
-    q = lambda k: _part(c, ISO_DATE, k)
-    zero = F.lit(0)
-    return F.when(c.rlike(ISO_DATETIME), full).when(c.rlike(ISO_DATE), made(q(1), q(2), q(3), zero, zero, zero, zero))
+    """The first date and time, or else the first date. A zone is not read. The
+    text is searched once, and what is found is split into its numbers."""
+    full, date = F.regexp_extract(c, ISO_DATETIME, 0), F.regexp_extract(c, ISO_DATE, 0)
+    parts = F.split(F.coalesce(F.nullif(full, F.lit("")), date), r"[-T\s:.]")
+    n = lambda k: _number(parts, k)
+    return F.when(F.size(parts) >= 3, made(n(0), n(1), n(2), n(3), n(4), n(5), _millis(F.coalesce(F.get(parts, F.lit(6)), F.lit("")))))
 
 
 def rfc_time(c: Column, honor_tz: bool = False) -> Column:
-    p = lambda k: _part(c, RFC, k)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(c, RFC, 2)).cast("int")
-    value = made(p(3), month, p(1), p(4), p(5), p(6), F.lit(0))
+    parts = F.split(F.regexp_extract(c, RFC, 0), r"[\s,:]+")  # day's name, day, month, year, hour, minute, second, zone
+    n = lambda k: _number(parts, k)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.get(parts, F.lit(2))).cast("int")
+    value = made(n(3), month, n(1), n(4), n(5), n(6), F.lit(0))
     if honor_tz:
-        zone = F.regexp_extract(c, RFC, 7)
+        zone = F.get(parts, F.lit(7))
         minutes = F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int")
         value = F.timestamp_seconds(F.unix_seconds(value) - F.when(zone.startswith("-"), -minutes).otherwise(minutes) * 60)
-    return F.when(c.rlike(RFC), value)
+    return F.when(F.size(parts) >= 8, value)
 
 
 def custom_time(c: Column, pattern: str) -> Column:
@@ -70,8 +73,11 @@ def custom_time(c: Column, pattern: str) -> Column:
         return iso_time(c)
     if not all(x in pattern for x in ("%Y", "%m", "%d")):
         return F.lit(None).cast("timestamp")
-    p = lambda k: _part(c, CUSTOM, k)
-    return F.when(c.rlike(CUSTOM), made(p(1), p(2), p(3), p(4), p(5), p(6), _millis(F.regexp_extract(c, CUSTOM, 7), 3)))
+    found = F.regexp_extract(c, CUSTOM, 0)
+    day, time = F.split(F.regexp_extract(found, r"^[^T\s]+", 0), r"[-/.]"), F.regexp_extract(found, r"[T\s](.*)", 1)
+    clock, fraction = F.split(F.regexp_extract(time, r"^[\d:]+", 0), ":"), F.regexp_extract(time, r"\.(\d+)", 1)
+    n, t = (lambda k: _number(day, k)), (lambda k: F.coalesce(F.nullif(F.get(clock, F.lit(k)), F.lit("")).cast("int"), F.lit(0)))
+    return F.when(found != "", made(n(0), n(1), n(2), t(0), t(1), t(2), _millis(fraction, 3)))
 
 
 def timestamp_of(line: Column, kind: str = "auto", column: int = -1, delimiter: str = ",", pattern: str = "", epoch_ms: bool = True, honor_tz: bool = False) -> Column:
