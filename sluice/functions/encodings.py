@@ -51,6 +51,33 @@ def gbk_share(data: bytes) -> float:
     return good / high if high else 0.0
 
 
+def decodes(data: bytes, encoding: str) -> bool:
+    """Whether bytes are valid in an encoding (surrogate pairs in UTF-16 included)."""
+    try:
+        data.decode(named(encoding) or encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def is_ascii(data: bytes) -> bool:
+    return data.isascii()
+
+
+def could_be_latin1(data: bytes) -> bool:
+    """No control characters of the upper half."""
+    return not any(0x80 <= b < 0xA0 for b in data)
+
+
+def could_be_gbk(data: bytes) -> bool:
+    return gbk_share(data) > 0.8
+
+
+def looks_binary(head: bytes) -> bool:
+    """Whether a file's first bytes have zeros or many control characters."""
+    return 0 in head or control_share(head) > 0.3
+
+
 def detect(data: bytes) -> tuple[str, float]:
     """Encoding and confidence: a mark, then ASCII, valid UTF-8, UTF-16 by its
     zero bytes, GBK by its pairs, else Latin-1. Valid UTF-8 always wins over GBK."""

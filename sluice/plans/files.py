@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +90,12 @@ def _joined(spark: SparkSession, paths: list[str], found: list[Profile], spec: M
     return out
 
 
-def merge_to_file(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str) -> dict[str, int]:
-    """Writes the merge as one file; returns what was written."""
+def merge_to_file(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str, progress: Callable[[str], None] | None = None) -> dict[str, int]:
+    """Writes the merge as one file; returns what was written. progress is told
+    when the inputs are planned and when the output is written."""
+    tell = progress or (lambda _: None)
     out = merge_files(spark, inputs, spec, output)
-    if spec.mode == "binary":
-        return {"n_bytes": sinks.write_bytes(out, output)}
-    return sinks.write_file(out, merge.ORDER, output, spec.target_encoding)
+    tell("planned")
+    counts = {"n_bytes": sinks.write_bytes(out, output)} if spec.mode == "binary" else sinks.write_file(out, merge.ORDER, output, spec.target_encoding)
+    tell("written")
+    return counts

@@ -1,8 +1,11 @@
-"""Input expansion and file listings, on the driver."""
+"""Input expansion, file listings and small file helpers, on the driver."""
 
 from __future__ import annotations
 
+import filecmp
 import os
+import shutil
+import zlib
 from fnmatch import fnmatchcase
 
 
@@ -45,3 +48,59 @@ def expand_inputs(inputs: list[str], recursive: bool = False, pattern: str = "*"
                 found.update(p if head else os.path.relpath(p) for p in list_files(head or ".", tail, recursive))
     skip = os.path.abspath(output) if output else None
     return sorted((p for p in found if os.path.abspath(p) != skip), key=os.fsencode)
+
+
+def read_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def read_text(path: str, encoding: str = "utf-8") -> str:
+    with open(path, encoding=encoding, newline="") as f:
+        return f.read()
+
+
+def write_bytes(path: str, data: bytes, append: bool = False) -> int:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "ab" if append else "wb") as f:
+        return f.write(data)
+
+
+def write_text(path: str, text: str, encoding: str = "utf-8", append: bool = False) -> int:
+    return write_bytes(path, text.encode(encoding), append)
+
+
+def write_lines(path: str, lines: list[str], encoding: str = "utf-8", append: bool = False) -> int:
+    return write_text(path, "".join(f"{x}\n" for x in lines), encoding, append)
+
+
+def copy(source: str, target: str) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    shutil.copyfile(source, target)
+
+
+def move(source: str, target: str) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    shutil.move(source, target)
+
+
+def remove(path: str) -> bool:
+    """Whether there was a file to remove."""
+    try:
+        os.remove(path)
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def crc32(path: str) -> int:
+    """IEEE CRC-32 of a file, read in blocks."""
+    value = 0
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            value = zlib.crc32(block, value)
+    return value
+
+
+def same_files(left: str, right: str) -> bool:
+    return filecmp.cmp(left, right, shallow=False)

@@ -32,7 +32,9 @@ def folder(tmp_path):
 
 
 def merged(spark, inputs, out, **options):
-    plans.merge_to_file(spark, inputs, MergeSpec.from_options(options), str(out))
+    said = []
+    plans.merge_to_file(spark, inputs, MergeSpec.from_options(options), str(out), said.append)
+    assert said == ["planned", "written"]
     return out.read_bytes().decode()
 
 
@@ -184,3 +186,22 @@ def test_command_line(spark, folder, capsys):
     assert "n_lines" in capsys.readouterr().out and open(out).read().startswith("name,age,city\nBob")
     assert cli.main(["--detect", *inputs]) == 0 and "format: csv" in capsys.readouterr().out
     assert cli.main(["-m", "what", "-o", out, *inputs]) == 1
+
+
+def test_file_helpers(tmp_path):
+    a, b = str(tmp_path / "d" / "a"), str(tmp_path / "e" / "b")
+    files.write_lines(a, ["x", "é"])
+    files.write_text(a, "tail", append=True)
+    assert files.read_text(a) == "x\né\ntail" and files.read_bytes(a) == "x\né\ntail".encode()
+    files.copy(a, b)
+    assert files.same_files(a, b) and files.crc32(a) == files.crc32(b)
+    files.move(b, b + "2")
+    assert files.remove(b + "2") and not files.remove(b)
+    files.write_bytes(a, b"123456789")
+    assert files.crc32(a) == 0xCBF43926
+
+
+def test_byte_classes():
+    assert encodings.decodes("😀".encode("utf-16-le"), "utf16le") and not encodings.decodes(b"\x00\xd8", "utf16le") and not encodings.decodes(b"\xc0\x80", "utf8")
+    assert encodings.is_ascii(b"a") and encodings.could_be_latin1(b"\xe9") and not encodings.could_be_latin1(b"\x85") and encodings.could_be_gbk("名字".encode("gbk"))
+    assert encodings.looks_binary(b"a\0") and not encodings.looks_binary(b"text\n")
