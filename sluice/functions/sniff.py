@@ -13,6 +13,7 @@ SAMPLE = 30
 EXTENSIONS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "xml": "xml", "log": "log", "txt": "text", "text": "text"}
 DELIMITERS = [",", "\t", " ", ":", ";", "|"]
 _SPACE = " \t\n\x0b\f\r"
+#: What makes a line a log's, and the shape of a number.
 _LOG = [re.compile(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}"), re.compile(r"\b(INFO|DEBUG|WARN|ERROR|FATAL|TRACE)\b", re.IGNORECASE)]
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d*)([eE][+-]?\d*)?\Z")
 

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    there = tempfile.mkdtemp(prefix="sluice-")
+    atexit.register(shutil.rmtree, there, ignore_errors=True)
+    return there
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    """The folder of spark.checkpoint.dir; a temporary one of this process only
+    where it is unset, which does for local sessions."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
