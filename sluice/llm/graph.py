@@ -19,7 +19,8 @@ SALTS = 16
 def _salted(edges: DataFrame, least: DataFrame) -> DataFrame:
     left = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     right = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return left.join(right, ["u", "salt"]).drop("salt")
+    # No broadcast: sizes are estimated before the salts multiply the rows.
+    return left.join(right.hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
