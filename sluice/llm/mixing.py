@@ -2,10 +2,12 @@
 
 Each source has a target of words. It takes whole passes over its documents
 first, then fills the rest of its budget: documents are counted by exact length,
-every length gives its share of the rest, rounded down, and a bounded-knapsack
-dynamic program over the counts that are left finds lengths whose sum comes as
-near the remaining words as lengths can. So many documents of each length are
-then selected by seeded hash.
+every length gives its share of the rest, rounded down or up by running totals
+from a seeded start, and a bounded-knapsack dynamic program over the counts that
+are left finds lengths whose sum comes as near the remaining words as lengths
+can. Where they miss, shares rounded up are taken back in seeded order, one and
+then about twice as many each time, and filled anew, as far as FIT and WORK go.
+So many documents of each length are then selected by seeded hash.
 
 Only counts by (source, length) are gathered, one group per source, and those
 are bounded by the number of different lengths. Selection counts documents by
@@ -20,6 +22,8 @@ draw: they are taken alike. No rows: no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, kept
 
 SLOTS = 1024
-#: Words of remaining budget that the dynamic program fits, at most this many.
-FIT = 1 << 16
+#: Documents are taken back for a nearer sum while no more words than FIT, or words
+#: times lengths than WORK, are to be filled anew; sums that the knapsack tells
+#: apart, at most.
+FIT, WORK, CELLS = 1 << 16, 1 << 28, 1 << 22
 
 
 def n_words(text: Column) -> Column:
@@ -58,49 +64,88 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return ranked.withColumn("target", F.least(cap, F.coalesce(F.col("common") * F.col("weight"), cap))).select("source", "source_size", "target")
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most counts, for a sum as
-    near budget as may be; lengths are positive and rising."""
+def dealt(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of the lengths rounded down, and the places of those that are
+    rounded up, in seeded order. Running totals of shares are rounded from a
+    seeded start, so the documents of any range of lengths are within one of
+    their share, and the words of all within about the longest length."""
     total = int((lengths * counts).sum())
-    if budget >= total or not total:
-        return counts.copy() if budget >= total else np.zeros_like(counts)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
-    rest = budget - int((lengths * taken).sum())
-    # Whole documents from the longest down, until the rest is small enough to fit.
-    for k in range(len(lengths) - 1, -1, -1):
-        if rest <= FIT:
-            break
-        more = min(int(counts[k] - taken[k]), (rest - FIT // 2) // int(lengths[k]))
-        if more > 0:
-            taken[k] += more
-            rest -= more * int(lengths[k])
-    left = counts - taken
-    if rest > FIT:  # only documents longer than the rest are left
-        k = int(np.flatnonzero(left > 0)[0])
-        taken[k] += abs(rest - int(lengths[k])) < rest
-        return taken
-    # Bounded knapsack: reached[s] is the last length that sum s is made with.
-    room = min(rest + int(lengths[-1]), 2 * FIT)  # a sum above the budget may be nearer
-    reached = np.full(room + 1, -1, np.int64)
-    reached[0] = len(lengths)
-    for k in np.flatnonzero(left > 0)[::-1].tolist():
-        if reached[rest] >= 0:
+    at = zlib.crc32(b"%d" % seed) * total >> 32
+    floors, up = np.zeros(len(counts), np.int64), []
+    for k, c in enumerate(counts.tolist()):
+        whole, part = divmod(c * budget, total)
+        floors[k] = whole
+        at += part
+        if at >= total:
+            at -= total
+            up.append(k)
+    up.sort(key=lambda k: (zlib.crc32(b"%d %d" % (seed, int(lengths[k]))), k))
+    return floors, np.array(up, np.int64)
+
+
+def filled(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """Bounded knapsack: how many documents of each length, at most left, have
+    the sum nearest rest. Exact up to CELLS sums; above, sums are told apart in
+    units that make CELLS of them, each by the first sum found in it."""
+    more = np.zeros_like(left)
+    some = np.flatnonzero(left > 0)
+    if rest <= 0 or not len(some):
+        return more
+    room = min(2 * rest, rest + int(lengths[some[-1]]))  # a sum above the budget may be nearer
+    unit = room // CELLS + 1
+    sums = np.full(room // unit + 1, -1, np.int64)  # of each cell, and the last length that it is made with
+    last = np.full(room // unit + 1, -1, np.int64)
+    sums[0] = 0
+    for k in some[::-1].tolist():
+        if sums[rest // unit] == rest:
             break
         length, most = int(lengths[k]), int(left[k])
-        fresh = np.flatnonzero(reached[: room + 1 - length] >= 0) if length <= room else np.zeros(0, np.int64)
+        fresh = sums[(sums >= 0) & (sums <= room - length)]
         times = 0
         while len(fresh) and times < most:
-            fresh = fresh[fresh + length <= room] + length
-            fresh = fresh[reached[fresh] < 0]
-            reached[fresh] = k
+            fresh = fresh[fresh <= room - length] + length
+            cells = fresh // unit
+            if unit > 1:
+                cells, first = np.unique(cells, return_index=True)
+                fresh = fresh[first]
+            new = sums[cells] < 0
+            cells, fresh = cells[new], fresh[new]
+            sums[cells], last[cells] = fresh, k
             times += 1
-    sums = np.flatnonzero(reached >= 0)
-    at = int(sums[np.argmin(np.abs(sums - rest))])
+    found = sums[sums >= 0]
+    at = int(found[np.argmin(np.abs(found - rest))])
     while at:
-        k = int(reached[at])
-        taken[k] += 1
+        k = int(last[at // unit])
+        more[k] += 1
         at -= int(lengths[k])
-    return taken
+    return more
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 42) -> np.ndarray:
+    """How many documents of each length to take, at most counts, for a sum as
+    near budget as may be; lengths are positive and rising. As few documents of
+    shares rounded up as needed are taken back for the knapsack to fill."""
+    total = int((lengths * counts).sum())
+    if budget >= total or not total:
+        return counts.copy() if budget >= total else np.zeros_like(counts)
+    floors, up = dealt(lengths, counts, budget, seed)
+    # What is left of the budget when so many of those rounded up are taken back.
+    rests = budget - int((lengths * floors).sum()) - int(lengths[up].sum()) + np.concatenate([[0], np.cumsum(lengths[up])])
+    first = back = int(np.argmax(rests >= 0))
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    least = min(budget % unit, -budget % unit)
+    best, miss = floors, None
+    while miss is None or (miss > least and (rests[back] <= FIT or rests[back] * len(lengths) <= WORK)):
+        taken = floors.copy()
+        taken[up[back:]] += 1
+        taken += filled(lengths, counts - taken, int(rests[back]))
+        now = abs(budget - int((lengths * taken).sum()))
+        if miss is None or now < miss:
+            best, miss = taken, now
+        if back == len(up):
+            break
+        back = min(len(up), 2 * back - first + 1)
+    return best
 
 
 def _drawn(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -115,7 +160,7 @@ def _taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return docs.join(p, on).withColumn("_copies", F.col("_passes") + F.coalesce((F.col("_draw") <= F.col("_cut")).cast("int"), F.lit(0)))
 
 
-def plan_of(docs: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+def plan_of(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int = 42) -> DataFrame:
     """docs: _source, _size, _draw, _slot. For each source, size and slot: the
     passes over all, and the draw up to which documents are taken once more."""
     by_slot = kept(docs.groupBy("_source", "_size", "_slot").agg(F.count("*").alias("n")), "slots")
@@ -132,7 +177,7 @@ def plan_of(docs: DataFrame, weights: tuple[float, ...], share: float, most: int
         extra = np.zeros_like(n)
         if passes < most:
             some = size > 0
-            extra[some] = fit_counts(size[some], n[some], round(target - passes * total))
+            extra[some] = fit_counts(size[some], n[some], round(target - passes * total), seed)
         out = group.assign(_passes=passes, extra=extra)[["_source", "_size", "source_size", "target", "_passes", "extra"]]
         return out.set_axis(["source", "size", "_source_size", "_target", "_passes", "extra"], axis=1)
 
@@ -154,14 +199,14 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """One row per row of df: the id, size, source_size, target and taken, the
     words that the mix takes of it (its size times its number of copies)."""
     docs = kept(df.select(F.col(id_col).alias("_id"), *_drawn(df, seed, id_col, text_col, source_col)), "sizes")
-    plan = plan_of(docs, weights, share, most)
+    plan = plan_of(docs, weights, share, most, seed)
     return _taken(docs, plan).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of df, each as often as the mix takes it; never those without words."""
     drawn = _drawn(df, seed, id_col, text_col, source_col)
-    plan = plan_of(kept(df.select(*drawn), "sizes"), weights, share, most)
+    plan = plan_of(kept(df.select(*drawn), "sizes"), weights, share, most, seed)
     names = [f"_own_{k}" for k in range(len(df.columns))]
     rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names)), *drawn).where("_size > 0")
     copies = _taken(rows, plan).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

@@ -87,6 +87,39 @@ def test_large_budgets():
     assert mixing.fit_counts(huge, np.array([9]), 3_700_000).tolist() == [4]
 
 
+def test_rounded_shares_are_dealt_over_all_lengths():
+    rng = np.random.default_rng(11)
+    lengths, counts = np.unique(np.exp(rng.normal(6, 1.2, 20_000)).astype(np.int64) + 1, return_counts=True)
+    total = int((lengths * counts).sum())
+    for budget in (total // 2, total // 3, total - total // 7):
+        taken = mixing.fit_counts(lengths, counts, budget)
+        assert (taken <= counts).all() and (taken >= 0).all()
+        assert int((lengths * taken).sum()) == budget
+        edges = np.searchsorted(np.cumsum(lengths * counts), np.arange(1, 10) * total / 10)
+        words, whole = (np.array([p.sum() for p in np.split(lengths * x, edges)]) for x in (taken, counts))
+        assert np.abs(words / whole - budget / total).max() < 0.05
+    some = [mixing.fit_counts(lengths, counts, total // 2, seed).tolist() for seed in (42, 42, 43)]
+    assert some[0] == some[1] != some[2]
+
+
+def test_documents_longer_than_the_rest():
+    lengths = np.array([100_000, 170_000, 210_000])
+    for counts in ([1, 1, 1], [2, 1, 0], [3, 2, 1]):
+        sums = {sum(c * x for c, x in zip(lengths.tolist(), pick)) for pick in itertools.product(*(range(c + 1) for c in counts))}
+        taken = mixing.fit_counts(lengths, np.array(counts), 200_000)
+        assert abs(int((lengths * taken).sum()) - 200_000) == min(abs(x - 200_000) for x in sums)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 50])
+def test_knapsack_in_units(cells, monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    lengths, left = np.array([7, 90, 1300]), np.array([40, 9, 5])
+    for rest in (1, 500, 3000, 7000):
+        more = mixing.filled(lengths, left, rest)
+        assert (more <= left).all() and (more >= 0).all()
+        assert abs(int((lengths * more).sum()) - rest) <= (3 if cells > 50 else max(7, rest // 10))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
