@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,11 @@ MARKS = [("utf-32-le", b"\xff\xfe\0\0"), ("utf-32-be", b"\0\0\xfe\xff"), ("utf-8
 NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-32-le": "UTF-32", "utf-32-be": "UTF-32"}
 
 
+#: Byte classes, and the pairs of GBK.
+_ASCII, _CONTROL = bytes(range(128)), bytes(b for b in range(32) if b not in (9, 10, 13))
+_PAIR = re.compile(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]")
+
+
 def named(name: str) -> str | None:
     return NAMES.get(name.strip().lower())
 
@@ -78,27 +85,56 @@ def looks_binary(head: bytes) -> bool:
     return 0 in head or control_share(head) > 0.3
 
 
-def detect(data: bytes) -> tuple[str, float]:
+@dataclass(frozen=True)
+class Counts:
+    """What bytes say of their encoding. Counts of parts that end in a line feed
+    add up to those of the whole: no character of UTF-8 or GBK has one inside."""
+
+    size: int = 0
+    zeros: tuple[int, int] = (0, 0)  # at even and odd places
+    control: int = 0
+    utf8: bool = True
+    high: int = 0  # bytes above ASCII, and bytes in pairs that GBK has
+    good: int = 0
+
+    def then(self, other: Counts) -> Counts:
+        at = self.size % 2
+        zeros = (self.zeros[0] + other.zeros[at], self.zeros[1] + other.zeros[1 - at])
+        return Counts(self.size + other.size, zeros, self.control + other.control, self.utf8 and other.utf8, self.high + other.high, self.good + other.good)
+
+
+def counts_of(data: bytes, complete: bool = True) -> Counts:
+    """complete: nothing follows, so that a character that is cut off is not valid."""
+    utf8, high, pairs = True, 0, 0
+    if not data.isascii():
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(data, complete)
+        except UnicodeDecodeError:
+            utf8 = False
+        rest, pairs = _PAIR.subn(b"", data)
+        high = 2 * pairs + len(rest.translate(None, _ASCII))
+    return Counts(len(data), (data[0::2].count(0), data[1::2].count(0)), len(data) - len(data.translate(None, _CONTROL)), utf8, high, 2 * pairs)
+
+
+def judged(c: Counts, mark: str | None = None) -> tuple[str, float]:
     """Encoding and confidence: a mark, then ASCII, valid UTF-8, UTF-16 by its
     zero bytes, GBK by its pairs, else Latin-1. Valid UTF-8 always wins over GBK."""
-    if mark := mark_of(data):
+    if mark:
         return mark, 0.95
-    if all(b < 0x80 for b in data) and 0 not in data:
-        return "ascii", 0.9
-    try:
-        codecs.getincrementaldecoder("utf-8")().decode(data)
-        if 0 not in data:
-            return "utf-8", 0.95 if control_share(data) <= 0.05 else 0.7
-    except UnicodeDecodeError:
-        pass
-    if len(data) % 2 == 0 and 0 in data:
-        low, high = data[1::2].count(0), data[0::2].count(0)
-        if max(low, high) * 4 > len(data) // 2:
-            return ("utf-16-le" if low >= high else "utf-16-be"), 0.5
-    share = gbk_share(data)
+    if c.utf8 and not any(c.zeros):
+        ascii_only = not c.high and not c.good
+        return ("ascii", 0.9) if ascii_only else ("utf-8", 0.95 if c.control <= 0.05 * c.size else 0.7)
+    if c.size % 2 == 0 and max(c.zeros) * 4 > c.size // 2:
+        return ("utf-16-le" if c.zeros[1] >= c.zeros[0] else "utf-16-be"), 0.5
+    share = c.good / c.high if c.high else 0.0
     return ("gbk", share) if share > 0.8 else ("latin-1", 0.3)
 
 
+def detect(data: bytes) -> tuple[str, float]:
+    """Encoding and confidence of bytes, the last character of which may be cut off."""
+    return judged(counts_of(data, complete=False), mark_of(data))
+
+
 def _udf(encoding: str, decode: bool):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

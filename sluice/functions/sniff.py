@@ -135,9 +135,10 @@ def profile_lines(lines: list[str], name: str = "", compat: str = "documented")
     return Profile(found, confidence, delimiter, header, first if header else [], len(first))
 
 
-def profile_bytes(head: bytes, name: str = "", compat: str = "documented", complete: bool = True) -> Profile:
-    """From a file's first bytes; a line that is cut off is left out."""
-    encoding, sure = detect(head)
+def profile_bytes(head: bytes, name: str = "", compat: str = "documented", complete: bool = True, known: tuple[str, float] | None = None) -> Profile:
+    """From a file's first bytes; a line that is cut off is left out. known: the
+    encoding and confidence of the whole file, where the first bytes are not all."""
+    encoding, sure = known or detect(head)
     text = head.decode(named(encoding) or encoding, "replace").removeprefix("\ufeff")
     lines = text.split("\n")
     if not complete or lines[-1] == "":

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encodings import named
+from ..functions.encodings import judged, mark_of, named
 from ..functions.sniff import Profile, profile_bytes
 from ..operators import join as joins
 from ..operators import merge
@@ -16,9 +16,10 @@ from ..operators.dedup import deduplicated
 from ..operators.filters import condition
 from ..sources import sinks
 from ..sources.files import expand_inputs
-from ..sources.lines import head_of, scan_bytes, scan_lines, with_header_mark
+from ..sources.lines import byte_counts, head_of, scan_bytes, scan_lines, with_header_mark
 from ..spec import MergeSpec
 
+#: First bytes that format, delimiter and header are told by.
 HEAD = 65536
 
 
@@ -26,16 +27,24 @@ class MergeError(ValueError):
     """Inputs that can't be merged as asked."""
 
 
+def profiles(spark: SparkSession, paths: list[str], compat: str = "documented") -> list[Profile]:
+    """Format, delimiter and header from the first bytes of each file; encodings
+    from all bytes, in one job over the files that are longer."""
+    heads = [head_of(spark, p, HEAD) for p in paths]
+    long = [p for p, head in zip(paths, heads) if len(head) == HEAD and not mark_of(head)]
+    counts = byte_counts(spark, long) if long else {}
+    known = [judged(counts[p]) if p in counts else None for p in paths]
+    return [profile_bytes(head, os.path.basename(p), compat, len(head) < HEAD, k) for p, head, k in zip(paths, heads, known)]
+
+
 def profile(spark: SparkSession, path: str, compat: str = "documented") -> Profile:
-    head = head_of(spark, path, HEAD)
-    return profile_bytes(head, os.path.basename(path), compat, complete=len(head) < HEAD)
+    return profiles(spark, [path], compat)[0]
 
 
 def profiles_table(spark: SparkSession, paths: list[str], compat: str = "documented") -> DataFrame:
     """One row per file: path, size, format, confidence, delimiter, has_header, width, encoding."""
     rows = []
-    for path in paths:
-        p = profile(spark, path, compat)
+    for path, p in zip(paths, profiles(spark, paths, compat)):
         rows.append((path, os.path.getsize(path) if os.path.exists(path) else None, p.format, p.confidence, p.delimiter, p.has_header, p.width, p.encoding))
     return spark.createDataFrame(rows, "path string, size long, format string, confidence double, delimiter string, has_header boolean, width int, encoding string")
 
@@ -63,7 +72,7 @@ def merge_files(spark: SparkSession, inputs: list[str], spec: MergeSpec, output:
         raise MergeError("no input files")
     if spec.mode == "binary":
         return merge.binary_parts(scan_bytes(spark, paths), [os.path.abspath(p) for p in paths])
-    found = [profile(spark, p, spec.compat) for p in paths]
+    found = profiles(spark, paths, spec.compat)
     if spec.mode == "conditional":
         return _joined(spark, paths, found, spec)
     lines = _scan(spark, paths, found, spec)

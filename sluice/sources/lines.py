@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.encodings import decoded, mark_of, named
+from ..functions.encodings import Counts, counts_of, decoded, mark_of, named
 
 LINES = "file_idx int, path string, line_no bigint, content string"
 
@@ -96,6 +97,60 @@ def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
         stream.close()
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+
+
+def byte_counts(spark: SparkSession, paths: list[str]) -> dict[str, Counts]:
+    """The counts of all bytes of each file, for its encoding. Splits are counted
+    by the executors; what the driver adds up is one row per split."""
+    shown, hidden = [p for p in paths if not _hidden(p)], [p for p in paths if _hidden(p)]
+
+    def row(path: str, split: int, c: Counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"path": path, "split": split, "size": c.size, "even": c.zeros[0], "odd": c.zeros[1], "control": c.control, "utf8": c.utf8, "high": c.high, "good": c.good}])
+
+    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sum_ = None, Counts()
+        for batch in batches:
+            places, lines = [*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], batch.column(2).to_pylist()
+            start = 0
+            while start < len(places):
+                end = start + 1
+                while end < len(places) and places[end] == places[start]:
+                    end += 1
+                if at != places[start]:
+                    if at:
+                        yield row(*at, sum_)
+                    at, sum_ = places[start], Counts()
+                sum_ = sum_.then(counts_of(b"\n".join(lines[start:end]) + b"\n"))
+                start = end
+        if at:
+            yield row(*at, sum_)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                sum_ = Counts()
+                with open(p, "rb") as f:
+                    while lines := f.readlines(1 << 24):
+                        sum_ = sum_.then(counts_of(b"".join(lines)))
+                yield row(p, 0, sum_)
+
+    kind = "path string, split long, size long, even long, odd long, control long, utf8 boolean, high long, good long"
+    tables = []
+    if shown:
+        raw = spark.read.option("lineSep", "\n").text(shown)
+        tables.append(raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary")).mapInArrow(splits, kind))
+    if hidden:
+        tables.append(spark.createDataFrame([(os.path.abspath(p),) for p in hidden], "path string").mapInArrow(files, kind))
+    found: dict[str, Counts] = {}
+    for r in sorted((r for t in tables for r in t.collect()), key=lambda r: (r.path, r.split)):
+        found[r.path] = found.get(r.path, Counts()).then(Counts(r["size"], (r.even, r.odd), r.control, r.utf8, r.high, r.good))
+    # The last line may have had no line feed, so sizes are the file system's.
+    return {p: replace(found.get(os.path.abspath(p) if "://" not in p else p, Counts()), size=size_of(spark, p)) for p in paths}
+
+
 def lines_of(df: DataFrame, key: Column, text: Column, file_idx: int = 0, path: str = "") -> DataFrame:
     """Rows as lines of one file: line_no is the rank of key, a number from 1."""
     return df.select(F.lit(file_idx).alias("file_idx"), F.lit(path).alias("path"), key.cast("long").alias("line_no"), text.alias("content"))
@@ -107,4 +162,4 @@ def with_header_mark(lines: DataFrame, headed: set[int]) -> DataFrame:
     return lines.withColumn("is_header", marks & (F.col("line_no") == 1))
 
 
-__all__ = ["LINES", "head_of", "lines_of", "mark_of", "scan_bytes", "scan_lines", "with_header_mark"]
+__all__ = ["LINES", "byte_counts", "head_of", "lines_of", "mark_of", "scan_bytes", "scan_lines", "with_header_mark"]

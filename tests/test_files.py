@@ -1,6 +1,8 @@
 """Whole merges of files, scans, sinks, encodings, streams and the command line."""
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,37 @@ def test_detection():
     assert encodings.named("GB2312") == "gbk" and encodings.named("none") is None
 
 
+@pytest.mark.parametrize("name", ["x__txt", "_x__txt"])
+@pytest.mark.parametrize("encoding, word", [("gbk", "名字"), ("latin-1", "café "), ("utf-8", "naïve")])
+def test_encoding_is_of_all_bytes(spark, folder, encoding, word, name):
+    lines_ = ["plain ascii"] * 9000 + [f"{word},{k}" for k in range(9)]
+    data = "".join(f"{x}\n" for x in lines_).encode(encoding)
+    assert b"\n".join(data[: plans.HEAD].split(b"\n")).isascii()
+    (path,) = folder(**{name: data})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40001")
+    try:
+        assert plans.profile(spark, path).encoding == encoding == plans.profiles_table(spark, [path]).first().encoding
+        assert merged(spark, [path], folder.path / "o.txt", mode="seq") == "".join(f"{x}\n" for x in lines_)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_counts_of_splits_are_those_of_the_file(spark, folder):
+    rnd = random.Random(6)
+    contents = {f"f{k}__bin": bytes(rnd.choices(range(256), [20, *[1] * 9, 20, *[1] * 245], k=100_001 + k)) for k in range(4)}
+    contents["u__txt"] = "名a\n".encode("utf-16-le") * 30_001
+    paths = folder(**contents)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9001")
+    try:
+        got = lines.byte_counts(spark, paths)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for path, data in zip(paths, contents.values()):
+        assert got[path] == encodings.counts_of(data)
+        assert got[path].high == sum(b >= 0x80 for b in data) + sum(m[0][1] < 0x80 for m in re.finditer(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]", data))
+        assert got[path].good / max(1, got[path].high) == encodings.gbk_share(data)
+
+
 def test_listing_and_binary(spark, folder):
     inputs = folder(b__bin=b"\x00\x01", a__bin=b"", c__bin=b"\xff\n")
     assert files.expand_inputs([str(folder.path)]) == sorted(inputs) == files.expand_inputs([f"{folder.path}/*.bin", inputs[0]])
