@@ -269,7 +269,18 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("csv_fields", f"""WITH {_LINES} SELECT doc_id, line_no, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ',')) END::BIGINT AS n_fields, CASE WHEN content <> '' THEN string_split(content, ',')[1] END AS first
 FROM lines WHERE NOT contains(content, '"')""")
 def csv_fields(spark: SparkSession, d: str) -> DataFrame:
-    lines = _doc_lines(spark, d).where(~F.col("content").contains('"')).withColumn("f", text.csv_fields(F.col("content")))
+    """Of lines without quotes only, as its SQL splits them; csv_fields_all has every line."""
+    return _csv_fields(_doc_lines(spark, d).where(~F.col("content").contains('"')))
+
+
+@query("csv_fields_all")
+def csv_fields_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every line, those with quotes too, whose fields a plain split can't tell."""
+    return _csv_fields(_doc_lines(spark, d))
+
+
+def _csv_fields(lines: DataFrame) -> DataFrame:
+    lines = lines.withColumn("f", text.csv_fields(F.col("content")))
     return lines.select("doc_id", "line_no", F.size("f").cast("long").alias("n_fields"), text.field(F.col("f"), 0).alias("first"))
 
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from sluice.functions import sniff
 from sluice.plans.catalogue import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -31,3 +32,16 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_csv_fields_of_every_line(spark, tmp_path):
+    texts = ['a,b\n"x,y",z\n\nsay ""hi"", now', '"open, and,on', "", '1,"a ""q"" b",\n",",","', None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for k, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n") if t is not None else [], 1):
+            f = sniff.fields_of(line)
+            want.append((k, n, len(f), f[0] if f else None))
+    assert sorted(map(tuple, QUERIES["csv_fields_all"](spark, str(tmp_path)).collect())) == want
+    lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text is not None)
+    assert QUERIES["csv_fields_all"](spark, DATA).count() == lines
