@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import kept
 from .graph import components
@@ -57,14 +58,19 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row and its fingerprint, fp (long)."""
+    return _with_print(df.select(id_col, F.col(text_col).cast("binary").alias("t")), "t", shingle, "fp").select(id_col, "fp")
+
+
+def _with_print(df: DataFrame, text_col: str, shingle: int, name: str) -> DataFrame:
+    """df with the fingerprint (long) of its texts (binary), the last column."""
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[id_col, "fp"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, name])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def block_keys(fp: Column, radius: int) -> Column:
@@ -184,21 +190,38 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_classes(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: the id, its fingerprint (16 hex digits) and the
-    smallest id that links reach from it."""
-    docs = kept(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+def _classes(docs: DataFrame, radius: int, id_col: str) -> DataFrame:
+    """docs: the id and fp of each row. One row per fp: fp, component_id (the
+    smallest id that links reach from it) and root (the fp that stands for the class)."""
     prints = kept(docs.groupBy("fp").agg(F.min(id_col).alias("first_id")), "prints")
     found = components(links(prints.select("fp"), radius))
     members = kept(found.union(found.select("root", "root").distinct()).join(prints, F.col("node") == F.col("fp")).select("fp", "root", "first_id"), "members")
     least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = kept(prints.join(members.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "classes")
+    named = prints.join(members.join(least, "root").select("fp", "root", "least_id"), "fp", "left")
+    return kept(named.select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_classes(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: the id, its fingerprint (16 hex digits) and the
+    smallest id that links reach from it."""
+    docs = kept(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    named = _classes(docs, radius, id_col).drop("root")
     return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id names their class, one row per id. Rows without
-    an id stay, since no class can be named by them."""
-    named = near_classes(df, shingle, radius, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    some = df.where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi").dropDuplicates([id_col])
-    return some.select(df.columns).union(df.where(F.col(id_col).isNull()))
+    """The rows of df that stand for their class: one with the smallest id of
+    each class, judged by its own text, so rows of one id in two classes may both
+    stay. Of rows without an id, which name no class, one of each class stays."""
+    names = [f"_own_{k}" for k in range(len(df.columns))]
+    own_id, own_text = (names[df.columns.index(c)] for c in (id_col, text_col))
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names)), F.col(text_col).cast("binary").alias("_t"))
+    rows = kept(_with_print(rows.drop(own_text), "_t", shingle, "fp").withColumn(own_text, F.col("_t").cast(df.schema[text_col].dataType)).drop("_t"), "prints-of-rows")
+    docs = rows.select(own_id, "fp")
+    classes = _classes(docs, radius, own_id)
+    # Light rows first: those of one class may be many.
+    firsts = docs.where(F.col(own_id).isNotNull()).distinct().join(classes, "fp").where(F.col(own_id) == F.col("component_id")).select(own_id, "fp", "root")
+    some = rows.join(firsts, [own_id, "fp"]).dropDuplicates(["root"])
+    without = rows.where(F.col(own_id).isNull()).dropDuplicates(["fp"]).join(classes, "fp").dropDuplicates(["root"])
+    back = [F.col(n).alias(c) for c, n in zip(df.columns, names)]
+    return some.select(back).union(without.select(back))

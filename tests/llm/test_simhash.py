@@ -91,6 +91,18 @@ def test_dedup_keeps_one_of_each_class(spark):
     assert got.count(None) == 2
 
 
+def test_dedup_judges_each_row_by_its_text(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, c), (4, c), (2, None), (2, a), (None, "no id here"), (None, "no id here"), (None, "other text"), (9, "no id anywhere"), (9, "no id anywhere")]
+    for k in (1, 4):
+        df = spark.createDataFrame([(i, t, None) for i, t in rows], SCHEMA).repartition(k)
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.near_dedup(df).collect())
+        assert got == sorted([(False, 1, a), (False, 5, b), (False, 4, c), (False, 2, ""), (False, 9, "no id anywhere"), (True, 0, "no id here"), (True, 0, "other text")])
+    both = spark.createDataFrame([(3, a, None), (3, b, None), (3, b, None)], SCHEMA)
+    assert sorted(r.text for r in simhash.near_dedup(both).collect()) == sorted([a, b]) and simhash.near_dedup(both).columns == both.columns
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_classes(empty).count() == 0
