@@ -54,7 +54,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = kept(media.media_column(table(spark, sf_dir, "documents")), "media")
-    return media.media_features(stored)
+    # The PCM is a stored column; its digest is read from what was stored.
+    resampled = kept(media.media_features(stored, with_pcm=True), "pcm")
+    return resampled.withColumn("pcm_sha256", F.sha2("pcm", 256)).drop("pcm")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

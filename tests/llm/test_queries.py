@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: SQL where there is some, columns of all."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -44,3 +45,12 @@ def test_columns_and_rows(spark, duck, name):
     df = queries.queries()[name](spark, DATA)
     assert df.columns == COLUMNS[name].split()
     assert df.count() == duck.sql("select count(*) from documents").fetchone()[0]
+
+
+def test_telephony_stores_its_pcm(spark, monkeypatch):
+    stored = []
+    keep = queries.kept
+    monkeypatch.setattr(queries, "kept", lambda df, what="table": stored.append(keep(df, what)) or stored[-1])
+    digests = {r.doc_id: r.pcm_sha256 for r in queries.op9_telephony(spark, DATA).collect()}
+    (pcm,) = [t for t in stored if "pcm" in t.columns]
+    assert {r.doc_id: hashlib.sha256(bytes(r.pcm)).hexdigest() for r in pcm.select("doc_id", "pcm").collect()} == digests and digests
