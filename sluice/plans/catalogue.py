@@ -338,8 +338,18 @@ def encode_utf16_len(spark: SparkSession, d: str) -> DataFrame:
 
 @query("utf8_valid", "SELECT doc_id, true AS valid, false AS cut_valid FROM documents WHERE strlen(text) > length(text)")
 def utf8_valid(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with characters of more bytes: valid, and not so with a lone lead byte."""
-    docs = _table(spark, d, "documents").where(F.octet_length("text") > F.char_length("text"))
+    """Texts with characters of more bytes: valid, and not so with a lone lead byte.
+    Its SQL leaves out texts of ASCII only; utf8_valid_all has every text."""
+    return _utf8_valid(_table(spark, d, "documents").where(F.octet_length("text") > F.char_length("text")))
+
+
+@query("utf8_valid_all", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS valid, CASE WHEN text IS NOT NULL THEN false END AS cut_valid FROM documents")
+def utf8_valid_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every text; nulls for null."""
+    return _utf8_valid(_table(spark, d, "documents"))
+
+
+def _utf8_valid(docs: DataFrame) -> DataFrame:
     b = F.col("text").cast("binary")
     return docs.select("doc_id", encodings.is_valid_utf8(b).alias("valid"), encodings.is_valid_utf8(F.concat(b, F.lit(b"\xc3"))).alias("cut_valid"))
 

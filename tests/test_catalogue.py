@@ -45,3 +45,9 @@ def test_csv_fields_of_every_line(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["csv_fields_all"](spark, str(tmp_path)).collect())) == want
     lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text is not None)
     assert QUERIES["csv_fields_all"](spark, DATA).count() == lines
+
+
+def test_utf8_of_every_text(spark, tmp_path):
+    spark.createDataFrame([(1, "ascii"), (2, "é"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["utf8_valid_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, True, False), (2, True, False), (3, True, False), (4, None, None)]
