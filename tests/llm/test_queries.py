@@ -44,7 +44,7 @@ def test_sql(spark, duck, name):
 def test_columns_and_rows(spark, duck, name):
     df = queries.queries()[name](spark, DATA)
     assert df.columns == COLUMNS[name].split()
-    assert df.count() == duck.sql("select count(*) from documents").fetchone()[0]
+    assert df.count() == duck.sql("select count(*) from documents").fetchall()[0][0]
 
 
 def test_telephony_stores_its_pcm(spark, monkeypatch):
