@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .common import kept
 
 #: Words of an anchor; bytes of text hashed at once (one text at least).
-GRAM, PART_BYTES = 12, 6_000_000
+GRAM, PART_BYTES = 12, 2_000_000
 #: Base of the polynomials (odd, so that it can be divided by).
 BASE = 0x9E3779B97F4A7C15
 BITS = (1 << 64) - 1
@@ -157,6 +157,19 @@ def parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
+def unzipped(packed: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of about PART_BYTES at once, and the place of the first."""
+    unzip, part, start, size = zstandard.ZstdDecompressor(), [], 0, 0
+    for k, z in enumerate(packed):
+        part.append(unzip.decompress(z.as_py()))
+        size += len(part[-1])
+        if size >= PART_BYTES:
+            yield start, part
+            part, start, size = [], k + 1, 0
+    if part:
+        yield start, part
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -201,13 +214,10 @@ def repeated_windows(df: DataFrame, window: int = 35, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zip_.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], names=["doc", "th", "z"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = pa.array([unzip.decompress(z.as_py()).decode() for z in batch.column(2)], pa.large_string())
-            marks = batch.column(3)
-            for start, part in parts(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
-                scan = Scan(part, window)
-                own = marks.slice(start, len(part))
+            for start, unpacked in unzipped(batch.column(2)):
+                scan = Scan(pa.array(unpacked, pa.large_binary()).cast(pa.large_string()), window)
+                own = batch.column(3).slice(start, len(unpacked))
                 marked = np.zeros(len(scan.grams) + 1, bool)
                 marked[own.flatten().to_numpy() + np.repeat(scan.starts, pc.list_value_length(own).to_numpy())] = True
                 place, first, end = scan.runs(marked)
@@ -221,12 +231,12 @@ def repeated_windows(df: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     names=["anchor", "run", "doc", "th", "start", "hashes"],
                 )
 
-    found = keyed.mapInArrow(anchors, "anchor long, doc long, th int, pos int")
+    found = kept(keyed.mapInArrow(anchors, "anchor long, doc long, th int, pos int"), "found")
     shared = kept(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     marks = found.join(shared, "anchor").groupBy("doc", "th").agg(F.collect_set("pos").alias("marks"))
     texts = kept(keyed.mapInArrow(pack, "doc long, th int, z binary").join(marks, ["doc", "th"]), "texts")
 
-    places = texts.mapInArrow(runs, "anchor long, run long, doc long, th int, start int, hashes array<long>")
+    places = kept(texts.mapInArrow(runs, "anchor long, run long, doc long, th int, start int, hashes array<long>"), "places")
     distinct = kept(places.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")), "runs")
     each = distinct.select("anchor", "run", "n", F.posexplode("hashes").alias("k", "hash"))
     twice = kept(each.groupBy("anchor", "hash").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "hash"), "windows")
@@ -244,29 +254,29 @@ def changed_texts(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     texts, repeated = repeated_windows(df, window, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for z, runs in zip(batch.column(2), batch.column(3)):
-                text = unzip.decompress(z.as_py())
-                words = text.split()
-                rows = runs.as_py()
-                gone = removed_words([r["start"] for r in rows], [r["mask"] for r in rows], window, len(words))
-                edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-                keep, at, pieces = [], 0, []
-                for w, g in zip(words, gone.tolist()):
-                    end = text.index(w, at) + len(w)
-                    if not g:
-                        keep.append(w)
-                        pieces.append(text[at:end])
-                    at = end
-                pieces.append(text[at:])
-                out[0].append(int(gone.sum()))
-                out[1].append(hashlib.sha256(b" ".join(keep)).hexdigest())
-                out[2].append(b"".join(pieces).decode())
-                out[3].append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
-            spans = pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), spans], names=["doc", "th", "n_removed", "kept_sha256", "kept_text", "intervals"])
+            for first, unpacked in unzipped(batch.column(2)):
+                out: list[list] = [[], [], [], []]
+                for text, runs in zip(unpacked, batch.column(3).slice(first, len(unpacked))):
+                    words, rows = text.split(), runs.as_py()
+                    gone = removed_words([r["start"] for r in rows], [r["mask"] for r in rows], window, len(words))
+                    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+                    keep, at, pieces = [], 0, []
+                    for w, g in zip(words, gone.tolist()):
+                        end = text.index(w, at) + len(w)
+                        if not g:
+                            keep.append(w)
+                            pieces.append(text[at:end])
+                        at = end
+                    pieces.append(text[at:])
+                    out[0].append(int(gone.sum()))
+                    out[1].append(hashlib.sha256(b" ".join(keep)).hexdigest())
+                    out[2].append(b"".join(pieces))
+                    out[3].append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
+                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], kind)]
+                own = [batch.column(k).slice(first, len(unpacked)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *columns], names=["doc", "th", "n_removed", "kept_sha256", "kept_text", "intervals"])
 
     joined = texts.dropDuplicates(["doc", "th"]).join(repeated, ["doc", "th"]).select("doc", "th", "z", "runs")
     return joined.mapInArrow(cut, "doc long, th int, n_removed long, kept_sha256 string, kept_text string, intervals array<struct<start:int,end:int>>")
@@ -278,9 +288,12 @@ def removal_digests(df: DataFrame, window: int = 35, id_col: str = "doc_id", tex
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.as_py().split() for t in batch.column(3)]
-            digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([*map(len, words)], pa.int64()), pa.array(digests, pa.string())], names=[id_col, "doc", "th", "n_words", "sha"])
+            n, digests = [], []
+            for t in batch.column(3):  # the words of one text at a time
+                words = t.as_py().split()
+                n.append(len(words))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.string())], names=[id_col, "doc", "th", "n_words", "sha"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, *row_key(df, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
