@@ -1,14 +1,22 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pieces of a block of documents are laid out as one token array.
-An inverted index maps each mergeable pair to its positions, by the rank of the
-token that the pair makes; every merge is applied to all its positions at once,
-lowest rank first, and only the neighbours of a merged position are looked up
-again. Blocks are bounded, so memory does not grow with the corpus, and nothing
-is shuffled.
-
-Null texts count as empty; empty texts have no ids. Any extra column is passed
-by, since only the id and the text are read.
+The distinct pieces of the corpus are counted, and its words are replayed once
+for all documents: pieces are laid out as one token array, an inverted index
+maps each mergeable pair to its positions, by the rank of the token that the
+pair makes; every merge is applied to all its positions at once, lowest rank
+first, and only the neighbours of a merged position are looked up again.
+
+The corpus's vocabulary grows without end, so what goes to every task is
+bounded: the most frequent pieces, as many counts down as SHARED_BYTES hold.
+The pieces that do not fit, and those longer than LONG bytes, are replayed in
+the same way by the block of documents in which they occur. Ids are the same
+whichever way a piece takes. Shuffled are the distinct pieces of each task with
+their counts; texts are not.
+
+Null texts count as empty; empty texts have no ids; no rows: no rows. Very long
+texts are a block of their own, whose memory is in proportion to their length.
+Repeated rows and rows of one id are each encoded. Only the id and the text are
+read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -27,8 +35,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Bytes of text per block (one text at least).
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
+#: Bytes of the pieces that all tasks share (with 16 for each), and the longest.
+SHARED_BYTES, LONG = 24_000_000, 64
 
 
 class Ranks:
@@ -72,7 +84,7 @@ def replay(flat: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> tuple[np.ndar
     of tokens. flat: the pieces' bytes; lengths: of the pieces, none of them 0."""
     n, size = len(flat), ranks.size
     if not n:
-        return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
     piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     token = ranks.byte_ids[flat]
     alive = np.ones(n, bool)
@@ -126,7 +138,7 @@ def replay(flat: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> tuple[np.ndar
         left = before[at]
         touched = np.concatenate([left[left >= 0], right])
         add(touched, ranks.made_by(token[touched], token[after[touched]]))
-    return token[alive], np.bincount(piece[alive], minlength=len(lengths))
+    return token[alive].astype(np.int32), np.bincount(piece[alive], minlength=len(lengths))
 
 
 def joined(values: np.ndarray, counts: np.ndarray, picks: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +162,7 @@ def flat_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 #: White space beside a space, in the syntax of Arrow's expressions (a superset
 #: of what the pattern calls white space), and words of plain letters.
 CROWDED = "(?: {0})|(?:{0} )".format(r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+PLAIN = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 class Chunks:
@@ -180,42 +192,73 @@ class Chunks:
         return coded.indices.to_numpy(), coded.dictionary, of
 
 
+class Known:
+    """Pieces and their ids, for lookups. pieces: distinct, large_string."""
+
+    def __init__(self, pieces: pa.Array, ids: np.ndarray, counts: np.ndarray):
+        self.pieces, self.ids, self.counts = pieces, ids, counts
+
+
 class Encoder:
-    """Encodes texts block by block."""
+    """Encodes texts block by block; known pieces are not replayed."""
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks, self.chunks = load(path), Chunks(pattern)
+    def __init__(self, path: str, pattern: str, known: Known | None = None):
+        self.ranks, self.chunks, self.known = load(path), Chunks(pattern), known
 
-    def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """texts: large_string. The ids of a block's texts one after another, and
-        each text's number of them."""
+    def parts(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """Slices of texts (large_string) of about BLOCK_BYTES."""
         ends, start = np.cumsum(pc.binary_length(texts).to_numpy()), 0
         while start < len(texts):
             floor = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, floor + BLOCK_BYTES, "right")))
-            yield self._block(texts.slice(start, stop - start))
+            yield texts.slice(start, stop - start)
             start = stop
 
-    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pieces of texts; those of each distinct chunk, by place,
+        and how many; the chunks of each text, by place, and how many."""
         picks, chunks, of = self.chunks(texts)
-        # Plain words are one piece; the others are split by the pattern.
-        plain = pc.match_substring_regex(pc.utf8_ltrim(chunks, " "), PLAIN).to_numpy(zero_copy_only=False)
+        # Plain words, with a space at most, are one piece; the others are split by the pattern.
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
         split = [*map(self.chunks.pieces, chunks.filter(pa.array(~plain)).to_pylist())]
         place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         n_plain = int(plain.sum())
-        flat, lengths = flat_bytes(pa.concat_arrays([chunks.filter(pa.array(plain)), pa.array([*place], pa.large_string())]))
-        ids, counts = replay(flat, lengths, self.ranks)
         n_pieces = np.ones(len(chunks), np.int64)
         n_pieces[~plain] = [*map(len, split)]
         pieces = np.empty(int(n_pieces.sum()), np.int64)
         is_plain = np.repeat(plain, n_pieces)
         pieces[is_plain] = np.arange(n_plain)
         pieces[~is_plain] = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64) + n_plain
-        return joined(*joined(ids, counts, pieces, n_pieces), picks, of)
+        return pa.concat_arrays([chunks.filter(pa.array(plain)), pa.array([*place], pa.large_string())]), pieces, n_pieces, picks, of
+
+    def counted(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The distinct pieces of up to LONG bytes, and how often they occur."""
+        distinct, pieces, n_pieces, picks, _ = self.split(texts)
+        times = np.repeat(np.bincount(picks, minlength=len(n_pieces)), n_pieces)
+        n = np.bincount(pieces, weights=times, minlength=len(distinct)).astype(np.int64)
+        short = pc.binary_length(distinct).to_numpy() <= LONG
+        return distinct.filter(pa.array(short)), n[short]
+
+    def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of ids, one after another, their lengths, and the group of each piece."""
+        if self.known is None:
+            return *replay(*flat_bytes(pieces), self.ranks), np.arange(len(pieces))
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known.pieces), -1).to_numpy().astype(np.int64)
+        own, n_known = at < 0, len(self.known.counts)
+        ids, counts = replay(*flat_bytes(pieces.filter(pa.array(own))), self.ranks)
+        at[own] = n_known + np.arange(len(counts))
+        return np.concatenate([self.known.ids, ids]), np.concatenate([self.known.counts, counts]), at
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a part's texts one after another, and each text's number of them."""
+        distinct, pieces, n_pieces, picks, of = self.split(texts)
+        ids, counts, at = self.ids_of(distinct)
+        return joined(*joined(ids, counts, at[pieces], n_pieces), picks, of)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out = []
-        for ids, of in self.blocks(pa.array(texts, pa.large_string())):
+        for part in self.parts(pa.array(texts, pa.large_string())):
+            ids, of = self.block(part)
             ends = np.concatenate([[0], np.cumsum(of)]).tolist()
             out += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
         return out
@@ -224,28 +267,83 @@ class Encoder:
         return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
 
 
+def vocabulary(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The distinct pieces of all texts, those longer than LONG bytes left out:
+    piece and n, how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern)
+        for batch in batches:
+            for part in encoder.parts(batch.column(0).cast(pa.large_string())):
+                pieces, n = encoder.counted(part)
+                yield pa.RecordBatch.from_arrays([pieces.cast(pa.string()), pa.array(n)], names=["piece", "n"])
+
+    found = df.where(F.col(text_col) != "").select(F.col(text_col).alias("t")).mapInArrow(run, "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, room: int = SHARED_BYTES) -> DataFrame:
+    """The pieces of counted (vocabulary) down to the least count, a power of
+    two, at which they fit in room; one row for each power comes to the driver."""
+    power = F.length(F.bin("n"))
+    sizes = counted.groupBy(power.alias("power")).agg(F.sum(F.octet_length("piece") + 16).alias("size")).collect()
+    least = 65
+    for row in sorted(sizes, reverse=True):
+        room -= row["size"]
+        if room < 0:
+            break
+        least = row["power"]
+    return counted.where(power >= least).select("piece")
+
+
+def replayed(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
+    """pieces: distinct. Adds ids (array<int>), by a replay of each partition's pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load(path)
+        for batch in batches:
+            ids, counts = replay(*flat_bytes(batch.column(0).cast(pa.large_string())), ranks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed(ids, counts)], names=["piece", "ids"])
+
+    return pieces.mapInArrow(run, "piece string, ids array<int>")
+
+
+def listed(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def corpus_pieces(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> Known | None:
+    """The corpus's most frequent pieces with their ids, bounded by SHARED_BYTES."""
+    counted = kept(vocabulary(df, path, pattern, text_col), "pieces")
+    found = kept(replayed(most_frequent(counted, SHARED_BYTES), path, pattern), "replayed").toArrow().combine_chunks()
+    if not found.num_rows:
+        return None
+    pieces, ids = (found.column(k).chunk(0) for k in (0, 1))
+    return Known(pieces.cast(pa.large_string()), ids.flatten().to_numpy().astype(np.int32), pc.list_value_length(ids).to_numpy().astype(np.int32))
+
+
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of df: the id, n_tokens, the ids (unless with_ids is
     false) and the digests of the ids and of the bytes that they decode to."""
     kind = df.schema[id_col].dataType.simpleString()
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
+    known = corpus_pieces(df, path, pattern, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, pattern, known)
         text_of = [str(i) for i in range(encoder.ranks.size)]
         for batch in batches:
-            n, sha, back, all_ids = [], [], [], []
-            for block, of in encoder.blocks(batch.column(1).cast(pa.large_string())):
-                n += of.tolist()
-                ends = np.cumsum(of).tolist()
-                for start, end in zip([0, *ends], ends):
-                    ids = block[start:end].tolist()
+            start = 0
+            for part in encoder.parts(batch.column(1).cast(pa.large_string())):
+                block, of = encoder.block(part)
+                sha, back, ends = [], [], np.cumsum(of).tolist()
+                for a, b in zip([0, *ends], ends):
+                    ids = block[a:b].tolist()
                     sha.append(hashlib.sha256(" ".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                    if with_ids:
-                        all_ids.append(ids)
-            columns = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
+                columns = [pa.array(of, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([listed(block, of)] if with_ids else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), *columns], names=[id_col, *names])
+                start += len(part)
 
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInArrow(run, schema)

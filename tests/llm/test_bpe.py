@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -23,7 +25,7 @@ def texts(n, length, seed=1):
     rnd = random.Random(seed)
     letters = list("aaab  \n\t'resdl019éÉß中文😀\x1c\x85\xa0　 !!..\x00") + ["<|endoftext|>", "<|endof", "'re", "  "]
     vocabulary = [t.replace("Ġ", " ") for t in Tokenizer.from_file(JSON).get_vocab()]
-    out = ["", " ", "a", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a" * 700, " " * 300, "\n" * 99, "the " * 500, "don't  'd\n 'll"]
+    out = ["  É", "  à l'", "   ß", "", " ", "a", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a" * 700, " " * 300, "\n" * 99, "the " * 500, "don't  'd\n 'll"]
     out += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(length))) for _ in range(n)]
     return out + ["".join(rnd.choice(vocabulary) for _ in range(length // 6)) for _ in range(n)]
 
@@ -38,7 +40,9 @@ def test_ids_are_the_librarys(library, block, monkeypatch):
     assert [encoder.decode(i) for i in got] == [t.encode() for t in some]
 
 
-def test_documents(spark, library):
+@pytest.mark.parametrize("room", [bpe.SHARED_BYTES, 700, 0])
+def test_documents(spark, library, room, monkeypatch):
+    monkeypatch.setattr(bpe, "SHARED_BYTES", room)
     rows = [(k, t, "x") for k, t in enumerate(texts(100, 60, 2))] + [(None, "null id", None), (3, None, None), (3, "again", None), (9999, "word " * 60000, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted(((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(df, RANKS, P.PATTERN).collect()))
@@ -50,6 +54,21 @@ def test_documents(spark, library):
     assert bpe.encode_documents(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
 
 
+def test_vocabulary_of_the_corpus(spark, library):
+    some = texts(60, 50, 6)
+    want = Counter(p for t in some for p in regex.findall(P.PATTERN, t) if len(p.encode()) <= bpe.LONG)
+    df = spark.createDataFrame([(t, "x") for t in [*some, None]], "text string, n string").repartition(3)
+    counted = bpe.vocabulary(df, RANKS, P.PATTERN)
+    assert {r.piece: r.n for r in counted.collect()} == want
+    power = lambda n: n.bit_length()
+    size = lambda least: sum(len(p.encode()) + 16 for p, n in want.items() if power(n) >= least)
+    for room in (0, 500, 2000, 10**9):
+        least = min([k for k in range(1, 66) if size(k) <= room])
+        assert {r.piece for r in bpe.most_frequent(counted, room).collect()} == {p for p, n in want.items() if power(n) >= least}
+    for r in bpe.replayed(counted.select("piece"), RANKS, P.PATTERN).collect():
+        assert list(r.ids) == library._encode_single_piece(r.piece)
+
+
 def test_prefix_counts_are_the_librarys():
     tokenizer, counter = Tokenizer.from_file(JSON), token_counts.PrefixCounts(JSON, P.PATTERN)
     for t in texts(250, 40, 3):
