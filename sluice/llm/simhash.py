@@ -1,25 +1,32 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are made in Arrow batches. Equal fingerprints are one from then
-on, so copies cost nothing. To link distinct fingerprints at r or fewer
-differing bits without comparing all of them, the 64 bits are cut into r + 2
-blocks: r differences leave two blocks untouched, so two linked fingerprints
-agree on one of the (r + 2)(r + 1) / 2 pairs of blocks, which is the key that
-deals them out. Within a key, tiles of fingerprints in order of population
-count are compared by exclusive-or and bit counts in numpy; two tiles whose
-population counts lie further apart than r are skipped, since each differing
-bit changes the count by one. A key with more than TILE fingerprints is cut
-into tiles by population count and hash before it is dealt out, and each pair
-of tiles within r is a group of its own; so no task holds an unbounded key, and
-no link is lost. Tiles give a star for each set that they link, not the pairs.
-
-Null and empty texts have no words and fingerprint zero. Repeated rows, and
-rows of one id, are in one class. A null id never names a class while another
-id is in it. No rows: no rows.
+on, so copies cost nothing. Distinct fingerprints are compared in tiles, by
+exclusive-or and bit counts in numpy: a bundle of them is put in the order of
+population count and cut into tiles of SIDE; two tiles whose population counts
+lie further apart than the radius r are skipped, since each differing bit
+changes the count by one. That is the one comparison for bundles of any size.
+
+To put in one bundle all that can be linked, without comparing the whole table
+with itself, the 64 bits are cut into b blocks: r differences leave b - r of
+them untouched, so two linked fingerprints agree on one choice of b - r blocks,
+which is the key that deals them out. b is r + 2 to r + 4, so that few
+fingerprints share a key by chance however many there are (see blocks_for).
+Keys that one fingerprint only has go; of the others, consecutive small ones
+make up a bundle. A key with more than TILE fingerprints is cut into tiles by
+population count and hash before it is dealt out, and each pair of tiles within
+r is a bundle of its own; so no task holds an unbounded key, and no link is
+lost. Bundles give a star for each set that they link, not the pairs.
+
+Null and empty texts have no words and fingerprint zero. Repeated rows are in
+one class; rows of one id are each judged by their own text. A null id never
+names a class while another id is in it. Very long texts are read whole, one at
+a time. Extra columns of any name stay or are not read. No rows: no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,10 +40,11 @@ from pyspark.sql import types as T
 from .common import kept
 from .graph import components
 
-#: Fingerprints in a tile of a large key; side of the tiles compared at once.
-TILE, SIDE = 4096, 512
-#: Groups up to this size are compared shift by shift, many groups at once.
-SHORT = 24
+#: Fingerprints in a tile of a large key and, about, in a bundle of small ones;
+#: side of the tiles compared at once.
+TILE, SIDE = 4096, 64
+#: Fingerprints that may share a key by chance before keys get longer.
+CHANCE = 8
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -73,18 +81,24 @@ def _with_print(df: DataFrame, text_col: str, shingle: int, name: str) -> DataFr
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """The keys of a fingerprint: its bits in each two of radius + 2 blocks."""
-    n = radius + 2
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks, radius + 2 to radius + 4, at which n
+    fingerprints share a key by chance at most CHANCE at a time. More blocks make
+    longer keys, and more of them: for a radius of 4, 15 keys of 21 bits, 35 of
+    27 or 70 of 32."""
+    for blocks in (radius + 2, radius + 3):
+        if n <= CHANCE << 64 * (blocks - radius) // blocks:
+            return blocks
+    return radius + 4
+
+
+def block_keys(fp: Column, radius: int, n: int) -> Column:
+    """The keys of a fingerprint: a hash of its bits in each n - radius of n
+    blocks. (Two keys of one hash would only be compared for nothing.)"""
     cuts = [64 * k // n for k in range(n + 1)]
-    blocks = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    widths = [b - a for a, b in zip(cuts, cuts[1:])]
-    keys = []
-    for k, (i, j) in enumerate(combinations(range(n), 2)):
-        width = widths[i] + widths[j]
-        keys.append(F.shiftleft(blocks[i], widths[j]).bitwiseOR(blocks[j]).bitwiseOR(F.lit(k << width)).cast("long"))
-        assert k << width < 1 << 62
-    return F.array(*keys)
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen) for chosen in combinations(range(n), n - radius)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in signed)), lambda m, k: F.xxhash64(fp.bitwiseAND(m), k))
 
 
 def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -101,8 +115,9 @@ def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def tiles_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in a and b (None: a with itself) of fingerprints within radius."""
+def tiles_links(a: np.ndarray, b: np.ndarray | None, radius: int, seen: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a and b (None: a with itself) of fingerprints within radius.
+    seen: gets how many pairs of tiles were compared and skipped."""
     count_a = np.bitwise_count(a)
     order_a = np.argsort(count_a, kind="stable")
     order_b, count_b = (order_a, count_a) if b is None else (o := np.argsort(np.bitwise_count(b), kind="stable"), np.bitwise_count(b))
@@ -111,43 +126,46 @@ def tiles_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tu
         rows = order_a[s : s + SIDE]
         for t in range(s if b is None else 0, len(b_all), SIDE):
             columns = order_b[t : t + SIDE]
-            if int(count_b[columns[0]]) - int(count_a[rows[-1]]) > radius or int(count_a[rows[0]]) - int(count_b[columns[-1]]) > radius:
+            skip = int(count_b[columns[0]]) - int(count_a[rows[-1]]) > radius or int(count_a[rows[0]]) - int(count_b[columns[-1]]) > radius
+            if seen is not None:
+                seen["skipped" if skip else "compared"] += 1
+            if skip:
                 continue
             near = np.bitwise_count(a[rows][:, None] ^ b_all[columns][None, :]) <= radius
             i, j = np.nonzero(np.triu(near, 1) if b is None and s == t else near)
             yield rows[i], columns[j]
 
 
-def linked(fp: np.ndarray, side: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the links within groups: fingerprints, and the one each hangs on.
-    starts: of the groups, in order; side: 0 or 1; with a side 1, only links
-    between the sides count."""
+def bundles(lengths: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The first group of each bundle: consecutive groups of about TILE rows in
+    all; a group of two sides is a bundle by itself."""
+    at = np.cumsum(np.where(two, 0, lengths)) // TILE
+    return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | two[1:] | two[:-1]]))
+
+
+def linked(fp: np.ndarray, side: np.ndarray, starts: np.ndarray, radius: int, seen: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the links within bundles of groups: fingerprints, and the one each
+    hangs on. starts: of the groups, in order; side: 0 or 1; with a side 1, only
+    links between the sides count. Links between groups are links as well."""
     lengths = np.diff([*starts, len(fp)])
-    label, group = np.arange(len(fp)), np.repeat(np.arange(len(starts)), lengths)
+    label = np.arange(len(fp))
     two = np.zeros(len(starts), bool)
-    two[group[side == 1]] = True
-    short = (lengths <= SHORT) & ~two
-    at = np.flatnonzero(short[group])
-    for d in range(1, int(lengths[short].max(initial=1))):
-        at = at[at + d < len(fp)]
-        at = at[group[at] == group[at + d]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-        hook(label, near, near + d)
-    for g in np.flatnonzero(~short):
-        start, end = starts[g], starts[g] + lengths[g]
+    two[np.repeat(np.arange(len(starts)), lengths)[side == 1]] = True
+    first = bundles(lengths, two)
+    for g, start, end in zip(first, starts[first], [*starts[first[1:]], len(fp)]):
         own, cut = label[start:end] - start, int((side[start:end] == 0).sum()) if two[g] else None
         part = fp[start:end]
-        for i, j in tiles_links(part[:cut], part[cut:] if two[g] else None, radius):
+        for i, j in tiles_links(part[:cut], part[cut:] if two[g] else None, radius, seen):
             hook(own, i, j + cut if two[g] else j)
         label[start:end] = own + start
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return fp[moved], fp[label[moved]]
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """prints: distinct fp. Edges u, v whose components are those of all links
-    between fingerprints at radius or fewer differing bits."""
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+def dealt(prints: DataFrame, radius: int, n_blocks: int) -> DataFrame:
+    """prints: distinct fp. Rows key, a, b, side, fp: what is to be compared, by
+    group (key, a, b); with a side 1, one side of the group with the other."""
+    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius, n_blocks)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, "key")
     small = shared.where(F.col("n") <= TILE).select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "fp")
@@ -162,6 +180,12 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     others = F.flatten(F.transform(beside, lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda t: x["ones"] * (1 << 24) + t)))
     large = large.withColumn("other", F.explode(others))
     large = large.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+    return small.union(large)
+
+
+def links(prints: DataFrame, radius: int, n_blocks: int | None = None) -> DataFrame:
+    """prints: distinct fp. Edges u, v whose components are those of all links
+    between fingerprints at radius or fewer differing bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -181,8 +205,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
             rest = [x[end:] for x in rest]
 
-    dealt = small.union(large).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
-    return dealt.mapInArrow(run, "u long, v long")
+    rows = dealt(prints, radius, n_blocks or blocks_for(prints.count(), radius))
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(run, "u long, v long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

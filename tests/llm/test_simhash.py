@@ -1,3 +1,6 @@
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -58,7 +61,8 @@ def test_classes_against_brute_force(spark, tile, monkeypatch):
     assert sorted((r[0] is None, r[0] or 0, r[1], r[2]) for r in got) == brute(rows)
 
 
-def test_keys_lose_no_pair(spark):
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_keys_lose_no_pair(spark, blocks):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63, 300, dtype=np.int64)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in base], dtype=np.uint64)
@@ -66,7 +70,7 @@ def test_keys_lose_no_pair(spark):
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(base, other)], "a long, b long")
     from pyspark.sql import functions as F
 
-    shared = df.where(~F.arrays_overlap(simhash.block_keys(F.col("a"), 4), simhash.block_keys(F.col("b"), 4)))
+    shared = df.where(~F.arrays_overlap(simhash.block_keys(F.col("a"), 4, blocks), simhash.block_keys(F.col("b"), 4, blocks)))
     assert shared.count() == 0
 
 
@@ -83,6 +87,40 @@ def test_tiles_against_brute_force(side, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_links_against_brute_force(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    prints = {int(x) for x in rng.integers(-(2**63), 2**63, 40, dtype=np.int64)}
+    for x in [*prints]:  # chains of near ones
+        for _ in range(6):
+            x = int((np.uint64(x & (2**64 - 1)) ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 7)), replace=False)))).view(np.int64))
+            prints.add(x)
+    prints = sorted(prints)
+    root = {x: x for x in prints}
+    for i, x in enumerate(prints):
+        for y in prints[:i]:
+            if ((x ^ y) & (2**64 - 1)).bit_count() <= 4 and root[x] != root[y]:
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root = {k: new if r == old else r for k, r in root.items()}
+    edges = simhash.links(spark.createDataFrame([(x,) for x in prints], "fp long"), 4, blocks)
+    got = dict(graph.components(edges).collect())
+    assert {x: got.get(x, x) for x in prints} == root
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 4) for n in (0, 8 << 21, (8 << 21) + 1, 8 << 27, (8 << 27) + 1, 10**12)] == [6, 6, 7, 7, 8, 8]
+
+
+def test_tiles_apart_in_population_count_are_skipped_on_documents(spark):
+    docs = spark.read.parquet(os.environ.get("TEST_TILES", "/root/testdata/sf0.1") + "/documents.parquet")
+    rows = simhash.dealt(simhash.fingerprints(docs, 4).select("fp").distinct(), 4, 6).toPandas().sort_values(["key", "a", "b", "side"], ignore_index=True)
+    fp, new = rows["fp"].to_numpy().view(np.uint64), (rows[["key", "a", "b"]].diff() != 0).any(axis=1).to_numpy()
+    seen = Counter()
+    u, v = simhash.linked(fp, rows["side"].to_numpy(), np.flatnonzero(new), 4, seen)
+    assert seen["skipped"] > 10 and seen["compared"]
+    assert (np.bitwise_count(u ^ v) <= 64).all() and len(u)
+
+
 def test_dedup_keeps_one_of_each_class(spark):
     rows = near_copies()
     got = [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
