@@ -1,20 +1,29 @@
 """WARC records in seekable Zstandard bundles.
 
-A bundle is a file: one Zstandard frame per record, each readable alone, then a
-skippable frame with the seek table (compressed and decompressed size of each
-frame, in the public seekable format), which standard decoders skip. The index
-maps a record's id to its bundle, frame, and the offset and length of its block
-relative to the frame, so that one record is read with one ranged read.
+A bundle is a file: records are grouped into independent Zstandard frames of
+about FRAME_BYTES, each readable alone, then comes a skippable frame with the
+seek table (compressed and decompressed size of each frame, in the public
+seekable format), which standard decoders skip. The index maps a record's id to
+its bundle, its frame, and the offset and length of the record in that frame's
+content, so that one record is read with one ranged read of its frame.
+Everything is read back by this index: all records (read_bundles) or some by
+their ids (read_records).
+
+Bundles are rows of a table in the shared folder, which executors write and
+read without a path of their own; export() copies them out as .warc.zst files.
 
 Records of equal payload digests: the one with the largest id is the response,
 the others are revisits that refer to it and hold no payload. Which one that is
 comes from a partially aggregated maximum by digest, joined back against a
 table in the shared folder, so a payload shared by most pages does not land in
-one task. Bundles are cut by bytes; a record larger than a bundle has its own.
+one task. Bundles are cut by bytes; a very long record has a frame, and one
+above the size of a bundle a bundle, of its own, and its memory is in
+proportion to it.
 
 Null payloads count as empty. Rows that repeat an id repeat its record; of equal
 payloads with the largest id all are responses. Null ids are written as records
-without a page and never a response to others unless no id is there.
+without a page and never a response to others unless no id is there. Extra
+columns of any name are not read. No rows: no bundles, and no rows read back.
 """
 
 from __future__ import annotations
@@ -32,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-#: Compressed bytes after which a bundle ends.
-BUNDLE_BYTES = 4_000_000
+#: Bytes of records after which a frame ends, and compressed bytes after which a bundle does.
+FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 4_000_000
 #: Magic numbers of the skippable frame and of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"  # records are equal from run to run
@@ -105,36 +114,46 @@ def pages_with_types(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     return both.select("page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_bundles(pages: DataFrame) -> DataFrame:
+#: Where a record is in its bundle: its frame, and its bytes in the frame's content.
+PLACES = "array<struct<page_id:long,frame:int,offset:long,length:long>>"
+
+
+def write_bundles(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """pages: of pages_with_types. One row per bundle: bundle (its file's name),
-    content, and records: page_id, frame, offset and length of the block in it."""
+    content, and records: page_id, frame, and the record's offset and length in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3, write_content_size=True)
-        frames, sizes, records, size = [], [], [], 0
+        open_, frames, sizes, records, size = bytearray(), [], [], [], 0
 
         def bundle() -> pa.RecordBatch:
             content = b"".join(frames) + seek_table(sizes)
             name = hashlib.sha256(content).hexdigest()[:32] + ".warc.zst"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary()), pa.array([records], kind)], names=["bundle", "content", "records"])
 
+        def close_frame() -> int:
+            frames.append(pack.compress(bytes(open_)))
+            sizes.append((len(frames[-1]), len(open_)))
+            open_.clear()
+            return len(frames[-1])
+
         for batch in batches:
-            for page_id, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                data = record(page_id, url, payload, refers_to, revisit)
-                frame = pack.compress(data)
-                offset = data.index(b"\r\n\r\n") + 4
-                records.append({"page_id": page_id, "frame": len(frames), "offset": offset, "length": len(data) - 4 - offset})
-                frames.append(frame)
-                sizes.append((len(frame), len(data)))
-                size += len(frame)
-                if size >= BUNDLE_BYTES:
+            for row in zip(*batch.columns):
+                data = record(*(x.as_py() for x in row))
+                records.append({"page_id": row[0].as_py(), "frame": len(frames), "offset": len(open_), "length": len(data)})
+                open_ += data
+                if len(open_) >= frame_bytes:
+                    size += close_frame()
+                if size >= bundle_bytes:
                     yield bundle()
                     frames, sizes, records, size = [], [], [], 0
+        if open_:
+            close_frame()
         if frames:
             yield bundle()
 
     kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
-    return pages.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, "bundle string, content binary, records array<struct<page_id:long,frame:int,offset:long,length:long>>")
+    return pages.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, f"bundle string, content binary, records {PLACES}")
 
 
 def index_of(bundles: DataFrame) -> DataFrame:
@@ -143,32 +162,64 @@ def index_of(bundles: DataFrame) -> DataFrame:
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per record, from the bundles' bytes alone: page_id, url,
-    payload_bytes, payload_digest, record_type, refers_to. A response's size and
-    digest are those of the payload read; a revisit's are those of its headers."""
+    """One row per record that the column records names, read from the bundles'
+    bytes by its frame, offset and length: page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to. A response's size and digest are
+    those of the payload read; a revisit's are those of its headers."""
 
     def number(urn: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
         return int(found[1]) if found else None
 
+    def read(data: bytes, page_id: int | None) -> tuple:
+        headers, http, payload = parse(data)
+        said, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+        length = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        if number(headers["warc-record-id"]) != page_id or kind == "response" and (digest_of(payload) != said or len(payload) != length):
+            raise ValueError(f"record {headers['warc-record-id']} is damaged")
+        return page_id, headers["warc-target-uri"], length, said, kind, number(headers.get("warc-refers-to")), payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                bundle, rows = content.as_py(), []
-                for frame in read_seek_table(bundle):
-                    headers, http, payload = parse(read_frame(bundle, *frame))
-                    said, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    if kind == "response" and (digest_of(payload) != said or len(payload) != length):
-                        raise ValueError(f"record {headers['warc-record-id']} is damaged")
-                    rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], length, said, kind, number(headers.get("warc-refers-to")), payload))
-                columns = [*zip(*rows)][: 6 + with_payload] if rows else [[]] * (6 + with_payload)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            for content, places in zip(*batch.columns):
+                bundle = content.as_py()
+                table, by_frame = read_seek_table(bundle), {}
+                for r in places.as_py():
+                    by_frame.setdefault(r["frame"], []).append(r)
+                for frame, records in by_frame.items():
+                    data = read_frame(bundle, *table[frame])
+                    rows = [read(data[r["offset"] : r["offset"] + r["length"]], r["page_id"]) for r in records]
+                    columns = [*zip(*rows)][: 6 + with_payload]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + with_payload]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return bundles.select("content").mapInArrow(run, schema)
+    return bundles.select("content", "records").mapInArrow(run, schema)
+
+
+def read_records(bundles: DataFrame, wanted: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records of the ids in wanted (column page_id), as read_bundles gives
+    them. Only frames that hold one are decompressed."""
+    found = index_of(bundles).join(wanted.select("page_id").distinct(), "page_id", "left_semi")
+    places = found.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("records"))  # a bundle's, at most
+    return read_bundles(bundles.select("bundle", "content").dropDuplicates(["bundle"]).join(places, "bundle"), with_payload)
+
+
+def export(bundles: DataFrame, directory: str) -> int:
+    """Writes bundles as files into a folder of any of Hadoop's file systems, one
+    at a time through the driver; returns how many there are."""
+    spark, n = bundles.sparkSession, 0
+    paths = spark._jvm.org.apache.hadoop.fs
+    for row in bundles.select("bundle", "content").toLocalIterator():
+        at = paths.Path(directory, row.bundle)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(bytearray(row.content))
+        finally:
+            out.close()
+        n += 1
+    return n
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
