@@ -40,7 +40,7 @@ from .common import kept
 #: Bytes of text per block (one text at least).
 BLOCK_BYTES = 8_000_000
 #: Bytes of the pieces that all tasks share (with 16 for each), and the longest.
-SHARED_BYTES, LONG = 24_000_000, 64
+SHARED_BYTES, LONG = 12_000_000, 64
 
 
 class Ranks:
