@@ -7,17 +7,22 @@ from a seeded start, and a bounded-knapsack dynamic program over the counts that
 are left finds lengths whose sum comes as near the remaining words as lengths
 can. Where they miss, shares rounded up are taken back in seeded order, one and
 then about twice as many each time, and filled anew, as far as FIT and WORK go.
-So many documents of each length are then selected by seeded hash.
+So many documents of each length are then selected by seeded draws.
 
 Only counts by (source, length) are gathered, one group per source, and those
-are bounded by the number of different lengths. Selection counts documents by
-(source, length, hash slot) and ranks only inside the slot where the wanted
-number is reached, so a source or a length with most rows spreads over SLOTS
-tasks.
+are bounded by the number of different lengths. A row's draw is a hash of all
+its columns, so rows with one draw are copies of each other, and counting rows
+by draw, with partial aggregation, makes one small row of them, however many
+they are. The draw at which the wanted number is reached is looked for in ranges
+of draws first, about RANGE draws each, then inside that range only; so a
+source or a length with most rows is never ranked as a whole. Where that draw
+is of several copies, some of them are taken: since they are alike, they are
+made from one by their number, CHUNK at a time.
 
 Null texts have length 0; a null source is a source of its own, the last.
-Documents of length 0 add nothing. Rows of one source, length and id have one
-draw: they are taken alike. No rows: no rows.
+Documents of length 0 add nothing. Null and repeated ids change nothing: rows
+are told apart by all columns. Very long texts are documents like others. Extra
+columns of any name are kept, and take part in the draws. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, kept
 
-SLOTS = 1024
+#: Draws ranked in one range, about; copies made of a row at once.
+RANGE, CHUNK = 1024, 4096
 #: Documents are taken back for a nearer sum while no more words than FIT, or words
 #: times lengths than WORK, are to be filled anew; sums that the knapsack tells
 #: apart, at most.
@@ -148,23 +154,19 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     return best
 
 
-def _drawn(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return [F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), draw.alias("_draw"), F.pmod(draw, F.lit(SLOTS)).cast("int").alias("_slot")]
-
-
-def _taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with their source_size, target and copies."""
-    p = plan.select(*(F.col(c).alias(f"_p{c}") for c in ("_source", "_size", "_slot")), "_source_size", "_target", "_passes", "_cut")
-    on = F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_size") == F.col("_p_size")) & (F.col("_slot") == F.col("_p_slot"))
-    return docs.join(p, on).withColumn("_copies", F.col("_passes") + F.coalesce((F.col("_draw") <= F.col("_cut")).cast("int"), F.lit(0)))
+def _drawn(df: DataFrame, seed: int, text_col: str, source_col: str) -> list[Column]:
+    """_source, _size and _draw (63 bits, from 0) of each row."""
+    hashable = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema]
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *hashable), 1)
+    return [F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), draw.alias("_draw")]
 
 
 def plan_of(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int = 42) -> DataFrame:
-    """docs: _source, _size, _draw, _slot. For each source, size and slot: the
-    passes over all, and the draw up to which documents are taken once more."""
-    by_slot = kept(docs.groupBy("_source", "_size", "_slot").agg(F.count("*").alias("n")), "slots")
-    by_size = by_slot.groupBy("_source", "_size").agg(F.sum("n").alias("n"))
+    """docs: _source, _size, _draw. For each source and size: the passes over all,
+    and the draw up to which (_cut) documents are taken once more; where that draw
+    is of more copies than are wanted of it, _some of them are."""
+    units = kept(docs.groupBy("_source", "_size", "_draw").agg(F.count("*").alias("n")), "draws")
+    by_size = units.groupBy("_source", "_size").agg(F.sum("n").alias("n"))
     sizes = by_size.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("n") * F.col("_size")).alias("source_size"))
     wanted = targets(sizes, weights, share, most)
     counted = by_size.join(wanted, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
@@ -178,36 +180,63 @@ def plan_of(docs: DataFrame, weights: tuple[float, ...], share: float, most: int
         if passes < most:
             some = size > 0
             extra[some] = fit_counts(size[some], n[some], round(target - passes * total), seed)
-        out = group.assign(_passes=passes, extra=extra)[["_source", "_size", "source_size", "target", "_passes", "extra"]]
-        return out.set_axis(["source", "size", "_source_size", "_target", "_passes", "extra"], axis=1)
-
-    fitted = counted.groupBy("_source").applyInPandas(fit, "source string, size long, _source_size long, _target double, _passes int, extra long")
-    # Slots of a length in order: those before the wanted number are taken whole.
-    running = F.sum("n").over(Window.partitionBy("_source", "_size").orderBy("_slot"))
-    slots = by_slot.withColumn("before", running - F.col("n"))
-    plan = slots.join(fitted, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))).drop("source", "size")
-    plan = kept(plan.withColumn("chosen", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))), "plan")
-    edge = plan.where("chosen > 0 and chosen < n").select(*(F.col(c).alias(f"e{c}") for c in ("_source", "_size", "_slot")), "chosen")
-    on = F.col("_source").eqNullSafe(F.col("e_source")) & (F.col("_size") == F.col("e_size")) & (F.col("_slot") == F.col("e_slot"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_slot").orderBy("_draw"))
-    cuts = docs.join(edge, on).withColumn("rank", rank).where("rank = chosen").select("e_source", "e_size", "e_slot", "_draw")
-    whole = F.when(F.col("chosen") == F.col("n"), F.lit((1 << 63) - 1))
-    return kept(plan.join(cuts, on, "left").withColumn("_cut", F.coalesce(whole, "_draw")).select("_source", "_size", "_slot", "_source_size", "_target", "_passes", "_cut"), "plan")
+        out = group.assign(_passes=passes, extra=extra)[["_source", "_size", "n", "source_size", "target", "_passes", "extra"]]
+        return out.set_axis(["_source", "_size", "_n", "_source_size", "_target", "_passes", "_extra"], axis=1)
+
+    fitted = kept(counted.groupBy("_source").applyInPandas(fit, "_source string, _size long, _n long, _source_size long, _target double, _passes int, _extra long"), "fitted")
+    # The wanted number of a length in the order of draws: first the range of
+    # draws in which it is reached, then the draw.
+    part = fitted.where("_extra > 0 and _extra < _n").select(F.col("_source").alias("s"), F.col("_size").alias("z"), "_n", "_extra")
+    on = F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z"))
+    bits = F.least(F.lit(32), F.length(F.bin(F.expr(f"_n div {RANGE}"))))
+    ranged = units.join(part, on).withColumn("range", F.call_function("shiftrightunsigned", "_draw", (63 - bits).cast("int")))
+    by_range = ranged.groupBy("s", "z", "range", "_extra").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("s", "z").orderBy("range"))
+    edge = by_range.withColumn("before", upto - F.col("n")).where("before < _extra and _extra <= before + n").select(F.col("s").alias("es"), F.col("z").alias("ez"), F.col("range").alias("erange"), "before")
+    inside = ranged.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("range") == F.col("erange")))
+    reached = F.col("before") + F.sum("n").over(Window.partitionBy("s", "z").orderBy("_draw"))
+    cuts = inside.withColumn("upto", reached).where("upto - n < _extra and _extra <= upto")
+    cuts = cuts.select("s", "z", F.col("_draw").alias("_cut"), (F.col("_extra") - F.col("upto") + F.col("n")).alias("some"), F.col("n").alias("copies"))
+    whole = F.when(F.col("_extra") > 0, F.lit((1 << 63) - 1)).otherwise(-1)  # all of a length, or none
+    plan = fitted.join(cuts, on, "left").select("_source", "_size", "_source_size", "_target", "_passes", F.coalesce("_cut", whole).alias("_cut"), F.when(F.col("some") < F.col("copies"), F.col("some")).alias("_some"))
+    return kept(plan, "plan")
+
+
+def _taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs with their plan, _copies, and _split: of a row's copies, some are taken once more."""
+    p = plan.select(F.col("_source").alias("_psource"), F.col("_size").alias("_psize"), "_source_size", "_target", "_passes", "_cut", "_some")
+    both = docs.join(p, F.col("_source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize"))).drop("_psource", "_psize")
+    split = (F.col("_draw") == F.col("_cut")) & F.col("_some").isNotNull()
+    return both.withColumn("_split", split).withColumn("_copies", F.col("_passes") + ((F.col("_draw") <= F.col("_cut")) & ~split).cast("int"))
+
+
+def _repeated(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row as often as times says, numbered by name from 0; those of one row
+    are dealt to tasks by CHUNK."""
+    chunks = rows.withColumn("_times", times).where("_times > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_times - 1) div {CHUNK})")))
+    chunks = chunks.repartition(*(F.col(c) for c in ("_draw", "_chunk")))
+    return chunks.withColumn(name, F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_times, (_chunk + 1) * {CHUNK}) - 1)"))).drop("_times", "_chunk")
 
 
 def mix_plan(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of df: the id, size, source_size, target and taken, the
     words that the mix takes of it (its size times its number of copies)."""
-    docs = kept(df.select(F.col(id_col).alias("_id"), *_drawn(df, seed, id_col, text_col, source_col)), "sizes")
-    plan = plan_of(docs, weights, share, most, seed)
-    return _taken(docs, plan).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    docs = kept(df.select(F.col(id_col).alias("_id"), *_drawn(df, seed, text_col, source_col)), "sizes")
+    taken = _taken(docs, plan_of(docs, weights, share, most, seed))
+    columns = lambda copies: [F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies).alias("taken")]
+    alike = taken.where("_split").groupBy("_source", "_size", "_draw").agg(F.first("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_source_size", "_target", "_passes", "_some")), F.count("*").alias("_n"))
+    each = _repeated(alike, F.col("_n"), "_k")
+    return taken.where("not _split").select(columns(F.col("_copies"))).union(each.select(columns(F.col("_passes") + (F.col("_k") < F.col("_some")).cast("int"))))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of df, each as often as the mix takes it; never those without words."""
-    drawn = _drawn(df, seed, id_col, text_col, source_col)
+    drawn = _drawn(df, seed, text_col, source_col)
     plan = plan_of(kept(df.select(*drawn), "sizes"), weights, share, most, seed)
     names = [f"_own_{k}" for k in range(len(df.columns))]
-    rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names)), *drawn).where("_size > 0")
-    copies = _taken(rows, plan).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.select(*(F.col(n).alias(c) for c, n in zip(df.columns, names)))
+    rows = _taken(df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names)), *drawn).where("_size > 0"), plan)
+    copies = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    alike = rows.where("_split").groupBy("_source", "_size", "_draw").agg(F.first("_some").alias("_some"), F.first(F.struct(*names)).alias("_row"))
+    some = _repeated(alike, F.col("_some"), "_k")
+    back = lambda at: [at(n).alias(c) for c, n in zip(df.columns, names)]
+    return copies.select(back(F.col)).union(some.select(back(lambda n: F.col("_row")[n])))

@@ -33,9 +33,9 @@ def brute_targets(sizes, weights, share, most):
     return target
 
 
-@pytest.mark.parametrize("slots", [1024, 1])
-def test_plan(spark, slots, monkeypatch):
-    monkeypatch.setattr(mixing, "SLOTS", slots)
+@pytest.mark.parametrize("ranked", [1024, 1])
+def test_plan(spark, ranked, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", ranked)
     data = rows()
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
     got = mixing.mix_plan(df).collect()
@@ -120,6 +120,30 @@ def test_knapsack_in_units(cells, monkeypatch):
         assert abs(int((lengths * more).sum()) - rest) <= (3 if cells > 50 else max(7, rest // 10))
 
 
+@pytest.mark.parametrize("chunk", [4096, 7])
+@pytest.mark.parametrize("same", [None, 5])
+def test_rows_without_ids_and_copies_meet_their_target(spark, same, chunk, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    data = [(same, "w " * int(rng.integers(5, 15)) + str(k), "a", None, None, None) for k in range(200)] + [(same, "copy of a text", "b", None, None, k) for k in range(30)]
+    data += [(same, "one and the same text", "c", None, None, None)] * 300 + [(same, "", "c", None, None, None)] * 3
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mixing.mix_plan(df).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        sizes[r.source_size] += r["size"]
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r["size"] and r.doc_id == same
+    assert all(k == n for k, n in sizes.items()) and len(got) == len(data)
+    assert all(abs(taken[k] - target[k]) <= 5 for k in sizes)
+    assert sorted(map(str, mixing.mix_plan(df.repartition(5)).collect())) == sorted(map(str, got))
+    mixed = mixing.mix(df.repartition(3)).collect()
+    words = Counter(r.source for r in mixed for _ in r.text.split())
+    assert sorted(words.values()) == sorted(taken.values())
+    assert set(mixed) <= set(df.collect()) and max(Counter(r.n for r in mixed if r.source == "b").values()) <= 2
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
