@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import frugal, kept
 
 #: Bytes of text per block (one text at least).
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes of the pieces that all tasks share (with 16 for each), and the longest.
 SHARED_BYTES, LONG = 12_000_000, 64
 
@@ -271,6 +271,7 @@ def vocabulary(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
     """The distinct pieces of all texts, those longer than LONG bytes left out:
     piece and n, how often it occurs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
@@ -299,6 +300,7 @@ def most_frequent(counted: DataFrame, room: int = SHARED_BYTES) -> DataFrame:
 def replayed(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
     """pieces: distinct. Adds ids (array<int>), by a replay of each partition's pieces."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load(path)
         for batch in batches:
@@ -329,6 +331,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
     known = corpus_pieces(df, path, pattern, text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern, known)
         text_of = [str(i) for i in range(encoder.ranks.size)]

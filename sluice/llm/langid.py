@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Texts scored at once; longest text in the training sample.
 BATCH, MAX_TRAIN_BYTES = 128, 65_536
 CODES = 256 + 256**2 + 256**3
@@ -47,8 +49,8 @@ class Presence:
 
     def __init__(self, vocabulary: np.ndarray):
         self.size = len(vocabulary)
-        self.place = np.full(CODES, -1, np.int32)
-        self.place[vocabulary] = np.arange(self.size)
+        self.place = np.zeros(CODES, np.int32)  # from 1 on; pages without a code take no memory
+        self.place[vocabulary] = np.arange(1, self.size + 1)
         self.stamp = np.empty(CODES, np.int32)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ class Presence:
             self.stamp[codes] = order  # of equal codes, one keeps its stamp
             codes = codes[self.stamp[codes] == order]
             at = self.place[codes]
-            rows[k, at[at >= 0]] = 1
+            rows[k, at[at > 0] - 1] = 1
             held[k] = len(codes)
         return rows, held
 
@@ -123,6 +125,7 @@ def fit(df: DataFrame, per_language: int = 240, landmarks: int = 48, id_col: str
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the id, lang_pred and score."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(model.vocabulary) if model.languages else None
         for batch in batches:
@@ -147,6 +150,7 @@ def in_known_language(df: DataFrame, model: Model, min_score: float = 0.1, text_
     language with a score of min_score or more."""
     at = df.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(model.vocabulary) if model.languages else None
         for batch in batches:

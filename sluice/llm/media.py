@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Format tags of WAVE files.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 RATE, BLOCK = 8000, 192
@@ -144,6 +146,7 @@ def media_column(df: DataFrame, codecs: tuple[str, ...] = ("mulaw", "alaw", "adp
     """Stores each text's payload as a WAVE file; the codec is one of codecs, by
     the payload's crc32. Returns the id, n_bytes and media (binary)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [payload_of(t.as_py()) for t in batch.column(1)]
@@ -170,6 +173,7 @@ def media_features(df: DataFrame, id_col: str = "doc_id", with_pcm: bool = False
     """Reads media_column's files back: digests of the payload, of the file and
     of the resampled PCM, the feature and, if asked for, the PCM itself."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0

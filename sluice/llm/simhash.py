@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept
+from .common import frugal, kept
 from .graph import components
 
 #: Fingerprints in a tile of a large key and, about, in a bundle of small ones;
@@ -73,6 +73,7 @@ def _with_print(df: DataFrame, text_col: str, shingle: int, name: str) -> DataFr
     """df with the fingerprint (long) of its texts (binary), the last column."""
     at = df.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64)
@@ -187,6 +188,7 @@ def links(prints: DataFrame, radius: int, n_blocks: int | None = None) -> DataFr
     """prints: distinct fp. Edges u, v whose components are those of all links
     between fingerprints at radius or fewer differing bits."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):

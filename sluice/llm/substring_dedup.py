@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept
+from .common import frugal, kept
 
 #: Words of an anchor; bytes of text hashed at once (one text at least).
 GRAM, PART_BYTES = 12, 2_000_000
@@ -199,6 +199,7 @@ def repeated_windows(df: DataFrame, window: int = 35, id_col: str = "doc_id", te
     assert GRAM < window <= GRAM + 63
     keyed = df.select(*row_key(df, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
+    @frugal
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in parts(batch, 2):
@@ -208,11 +209,13 @@ def repeated_windows(df: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 take = pa.array(row + start)
                 yield pa.RecordBatch.from_arrays([signed(scan.grams[at]), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - scan.starts[row]).astype(np.int32))], names=["anchor", "doc", "th", "pos"])
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(3)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zip_.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], names=["doc", "th", "z"])
 
+    @frugal
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, unpacked in unzipped(batch.column(2)):
@@ -253,6 +256,7 @@ def changed_texts(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     space before them, and the intervals of words removed."""
     texts, repeated = repeated_windows(df, window, id_col, text_col)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
@@ -286,6 +290,7 @@ def removal_digests(df: DataFrame, window: int = 35, id_col: str = "doc_id", tex
     """One row per row of df: the id, n_words, n_removed and the SHA-256 of the
     kept words joined by one space."""
 
+    @frugal
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests = [], []

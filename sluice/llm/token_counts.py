@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Distinct pieces kept by a worker, and an eighth of the token pairs.
 MEMO = 300_000
 
@@ -202,6 +204,7 @@ def count_documents(df: DataFrame, path: str, pattern: str, limit: int, id_col:
     (code points of the longest prefix of at most limit tokens) and, if asked
     for, prefix_tokens (the count at every prefix)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounts(path, pattern)
         for batch in batches:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Labelled rows of each class in the fit, longest text there, and features kept.
 PER_CLASS, MAX_TRAIN_BYTES, MAX_FEATURES = 2500, 65_536, 6000
 #: Distinct words whose score a worker remembers.
@@ -166,6 +168,7 @@ def labelled_sample(labelled: DataFrame, per_class: int = PER_CLASS, id_col: str
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the id, score and predicted."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:

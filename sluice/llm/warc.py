@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import frugal, kept
 
 #: Bytes of records after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 4_000_000
@@ -122,6 +122,7 @@ def write_bundles(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes
     """pages: of pages_with_types. One row per bundle: bundle (its file's name),
     content, and records: page_id, frame, and the record's offset and length in it."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3, write_content_size=True)
         open_, frames, sizes, records, size = bytearray(), [], [], [], 0
@@ -179,6 +180,7 @@ def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
             raise ValueError(f"record {headers['warc-record-id']} is damaged")
         return page_id, headers["warc-target-uri"], length, said, kind, number(headers.get("warc-refers-to")), payload
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, places in zip(*batch.columns):
