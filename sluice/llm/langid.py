@@ -8,13 +8,15 @@ for each landmark and language. Documents are scored in batches: presence
 matrix times landmark matrix, times weights.
 
 Texts are lower-cased, and ASCII characters other than letters count as spaces.
-The model is fitted on the driver on a bounded sample: per_language rows of each
-language (those with the least hashed ids, of texts up to MAX_TRAIN_BYTES), the
-first landmarks of which are landmarks. Whole texts are scored, of any length.
+The model is fitted on the driver on a bounded sample: per_language rows (those
+with the least hashed ids) of each of the MAX_LANGUAGES languages with the most
+rows, the first landmarks of which are landmarks. What comes to the driver of a
+text, however long, are its distinct n-grams. Whole texts are scored.
 
 Texts that are null or hold no letter get `und` and score 0, as do all where no
-language could be learned. Equal scores: the language first by code point. Only
-the id and the text are read in scoring.
+language could be learned. Equal scores: the language first by code point.
+Repeated rows score alike. Only the id and the text are read in scoring, and
+extra columns of any name do no harm. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import frugal
 
-#: Texts scored at once; longest text in the training sample.
-BATCH, MAX_TRAIN_BYTES = 128, 65_536
+#: Texts scored at once; languages learned at most.
+BATCH, MAX_LANGUAGES = 128, 256
 CODES = 256 + 256**2 + 256**3
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _letter = regex.compile(r"\p{L}").search
@@ -53,11 +55,11 @@ class Presence:
         self.place[vocabulary] = np.arange(1, self.size + 1)
         self.stamp = np.empty(CODES, np.int32)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The matrix, and the number of distinct n-grams of each text."""
+    def __call__(self, texts: list[str | np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix, and the number of distinct n-grams of each text (or of its codes)."""
         rows, held = np.zeros((len(texts), self.size), np.float32), np.zeros(len(texts))
         for k, text in enumerate(texts):
-            codes = codes_of(text)
+            codes = codes_of(text) if isinstance(text, str) else text
             order = np.arange(len(codes), dtype=np.int32)
             self.stamp[codes] = order  # of equal codes, one keeps its stamp
             codes = codes[self.stamp[codes] == order]
@@ -81,14 +83,14 @@ class Model:
         return kernel @ self.weights
 
 
-def fit_sample(sample: list[tuple[str, str]], landmarks: int = 48, ridge: float = 1e-3) -> Model:
-    """sample: (text, language), the rows of a language in order of preference."""
+def fit_sample(sample: list[tuple[str | np.ndarray, str]], landmarks: int = 48, ridge: float = 1e-3) -> Model:
+    """sample: (text or its codes, language), the rows of a language in order of preference."""
     languages = sorted({lang for _, lang in sample})
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros((0, 0)))
     own = {lang: [t for t, x in sample if x == lang] for lang in languages}
     marks = [t for lang in languages for t in own[lang][:landmarks]]
-    vocabulary = np.unique(np.concatenate([*map(codes_of, marks)]))
+    vocabulary = np.unique(np.concatenate([codes_of(t) if isinstance(t, str) else t for t in marks]))
     presence = Presence(vocabulary)
     land, held = presence(marks)
     kernel = lambda rows, n: (rows @ land.T).astype(np.float64) / np.sqrt(np.outer(n, held))
@@ -104,21 +106,30 @@ def fit_sample(sample: list[tuple[str, str]], landmarks: int = 48, ridge: float
 
 def fit(df: DataFrame, per_language: int = 240, landmarks: int = 48, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on per_language rows of each language of df, null languages left out."""
-    fit_on = df.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAIN_BYTES) & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in fit_on.groupBy(lang_col).count().collect()}
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, text, lang in zip(*batch.columns):
+                codes = np.unique(codes_of(text.as_py())).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([place.as_py()], pa.float64()), pa.array([codes.tobytes()], pa.binary()), pa.array([lang.as_py()], pa.string())], names=["place", "codes", "lang"])
+
+    fit_on = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    sizes = fit_on.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r.lang: r.n for r in sizes.limit(MAX_LANGUAGES).collect()}
     if not counts:
         return fit_sample([])
     # Ids are hashed to 0..1; a share somewhat above what is wanted comes to the driver.
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * per_language + 60) / n))])
-    rows = fit_on.where(place < F.try_element_at(share, F.col(lang_col))).select(place.alias("place"), text_col, lang_col).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    drawn = fit_on.where(place < F.try_element_at(share, F.col(lang_col))).select(place.alias("place"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = sorted(drawn.mapInArrow(run, "place double, codes binary, lang string").collect(), key=lambda r: (r[0], bytes(r[1])))
     seen = dict.fromkeys(counts, 0)
     sample = []
-    for _, text, lang in rows:
+    for _, codes, lang in rows:
         seen[lang] += 1
         if seen[lang] <= per_language:
-            sample.append((text, lang))
+            sample.append((np.frombuffer(bytes(codes), np.int32), lang))
     return fit_sample(sample, landmarks)
 
 
