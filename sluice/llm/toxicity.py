@@ -4,20 +4,30 @@ Features are a text's distinct words and their first letters (3 to 6), so that
 inflected forms share what they have in common. Those that tell the labels apart
 (by the two-proportion z test) enter a logistic regression. For each labelled
 sentence that names a group, copies are made in which the term is swapped for
-the other terms of its kind; the squared change of the score (its logit) is part
-of the loss, so the mention of a group by itself can not raise a score.
-
-The model is fitted on the driver on a bounded sample, PER_CLASS rows of each
-label (those with the least hashed ids). Scoring reads every whole text, and of
-a row only the id and the text. Null and empty texts score as texts without
-words. Without two labels to tell apart, every score is the share of label 1.
+the other terms of its kind, and one in which it is left out; the squared change
+of the score (its logit) is part of the loss, so the mention of a group by
+itself can not raise a score, nor raise that of texts that name none. Terms that
+no labelled sentence holds, and whose first letters may still be those of a
+toxic word, are put in the place of a word of PLANTED sentences labelled 0, for
+the same penalty.
+
+The model is fitted on the driver on a bounded sample: PER_CLASS rows of each
+label (those with the least hashed ids), of each the distinct words (MAX_WORDS
+at most, those of least crc32) and up to MAX_SENTENCES sentences with a term,
+found by the executors in the whole text, however long; MAX_FEATURES features.
+Scoring reads every whole text, and of a row only the id and the text, so extra
+columns of any name do no harm. Null and empty texts score as texts without
+words; null texts are not learned from. Repeated rows score alike. Without two
+labels to tell apart, every score is the share of label 1. No rows: no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import frugal
 
-#: Labelled rows of each class in the fit, longest text there, and features kept.
-PER_CLASS, MAX_TRAIN_BYTES, MAX_FEATURES = 2500, 65_536, 6000
+#: Labelled rows of each class in the fit, distinct words and sentences with a
+#: term of each, and features kept.
+PER_CLASS, MAX_WORDS, MAX_SENTENCES, MAX_FEATURES = 2500, 50_000, 8, 6000
+#: Weight of the squared changes of the logit; sentences that a term not found is put into.
+PENALTY, PLANTED = 5.0, 3
 #: Distinct words whose score a worker remembers.
 MEMO = 300_000
-#: Terms that name groups, by kind; a term is swapped within its kind.
+#: Terms that name groups, by language and kind; a term is swapped within its kind.
 IDENTITY_TERMS = {
     "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant", "mormon"],
     "religion_plural": ["muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants", "mormons"],
@@ -41,8 +54,24 @@ IDENTITY_TERMS = {
     "origin": ["black", "white", "asian", "latino", "latina", "hispanic", "african", "arab", "european", "american", "mexican", "chinese", "indian", "immigrant", "refugee"],
     "origin_plural": ["blacks", "whites", "asians", "latinos", "africans", "arabs", "europeans", "americans", "mexicans", "immigrants", "refugees"],
     "ability": ["disabled", "deaf", "blind", "autistic", "elderly", "young", "old"],
+    "de_religion": ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"],
+    "de_gender": ["frau", "mann", "mädchen", "junge", "frauen", "männer"],
+    "de_orientation": ["schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"],
+    "de_origin": ["schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer", "türken", "ausländer", "flüchtlinge"],
+    "de_ability": ["behinderte", "gehörlose", "blinde", "autisten", "alte"],
+    "fr_religion": ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"],
+    "fr_gender": ["femme", "homme", "fille", "garçon", "femmes", "hommes"],
+    "fr_orientation": ["lesbienne", "bisexuel", "hétérosexuel", "homosexuel"],
+    "fr_origin": ["noirs", "blancs", "asiatiques", "africains", "arabes", "européens", "étrangers", "réfugiés", "immigrés"],
+    "fr_ability": ["handicapés", "sourds", "aveugles", "autistes", "vieux"],
+    "es_religion": ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"],
+    "es_gender": ["mujer", "hombre", "niña", "niño", "mujeres", "hombres"],
+    "es_orientation": ["lesbiana", "bisexual", "heterosexual", "homosexual"],
+    "es_origin": ["negros", "blancos", "asiáticos", "africanos", "árabes", "europeos", "extranjeros", "refugiados", "inmigrantes"],
+    "es_ability": ["discapacitados", "sordos", "ciegos", "autistas", "viejos"],
 }
-KIND = {t: k for k, terms in IDENTITY_TERMS.items() for t in terms}
+#: A term of two kinds counts for the first.
+KIND = {t: k for k, terms in reversed(IDENTITY_TERMS.items()) for t in terms}
 _words = regex.compile(r"\p{L}+").findall
 _sentences = regex.compile(r"[^.!?\n]+").findall
 
@@ -69,13 +98,54 @@ class Model:
         return self.bias + sum(map(self.word_score, sorted(words)))
 
 
+def swaps(words: set[str]) -> list[tuple[set[str], set[str]]]:
+    """A sentence's words with and without each swap of a term for another of its kind."""
+    return [(words, words - {term} | {other}) for term in sorted(words & KIND.keys()) for other in IDENTITY_TERMS[KIND[term]] if other != term]
+
+
 def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
     """Word sets of each sentence that names a group, with and without a swap."""
-    pairs = []
+    return [p for sentence in _sentences(text.lower()) for p in swaps(words_of(sentence))]
+
+
+class Labelled(NamedTuple):
+    """What is learned from a text: its words, its label, the words of sentences
+    that name a group, and those of its first sentence of four words or more."""
+
+    words: set[str]
+    label: int
+    named: list[set[str]]
+    plain: set[str]
+
+
+def labelled(text: str, label: int) -> Labelled:
+    words, named, plain = words_of(text), [], set()
     for sentence in _sentences(text.lower()):
-        words = words_of(sentence)
-        for term in sorted(words & KIND.keys()):
-            pairs += [(words, words - {term} | {other}) for other in IDENTITY_TERMS[KIND[term]] if other != term]
+        own = words_of(sentence)
+        if own & KIND.keys():
+            if len(named) < MAX_SENTENCES:
+                named.append(own)
+        elif not plain and len(own) > 3:
+            plain = own
+    if len(words) > MAX_WORDS:
+        words = set(sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:MAX_WORDS])
+    return Labelled(words, label, named, plain)
+
+
+def pairs_of(rows: list[Labelled]) -> list[tuple[set[str], set[str]]]:
+    """Word sets whose scores should be equal: sentences with and without a swap,
+    with and without their term, and sentences into which a term is put that no
+    sentence holds."""
+    pairs, found = [], set()
+    for row in rows:
+        for words in row.named:
+            pairs += swaps(words) + [(words, words - {term}) for term in sorted(words & KIND.keys())]
+            found |= words & KIND.keys()
+    clean = [row.plain for row in rows if row.label == 0 and row.plain]
+    for k, term in enumerate(sorted(KIND.keys() - found)):
+        for n in range(min(PLANTED, len(clean))):
+            words = clean[(k * PLANTED + n) % len(clean)]
+            pairs.append((words, words - {min(words)} | {term}))
     return pairs
 
 
@@ -94,9 +164,33 @@ class _Rows:
         return np.bincount(self.at, weights=g[self.row], minlength=self.shape[1])
 
 
-def fit_sample(sample: list[tuple[str, int]], penalty: float = 1.0, ridge: float = 2e-3, rounds: int = 300) -> Model:
-    """sample: (text, label 0 or 1). penalty: weight of the counterfactual term."""
-    sets, labels = [words_of(t) for t, _ in sample], np.array([y for _, y in sample], float)
+class Loss:
+    """The mean log loss, each label weighing the same, with a ridge, and penalty
+    times the mean squared change of the logit over pairs of rows."""
+
+    def __init__(self, x: _Rows, labels: np.ndarray, left: _Rows, right: _Rows, penalty: float, ridge: float):
+        self.x, self.labels, self.left, self.right, self.penalty, self.ridge = x, labels, left, right, penalty, ridge
+        self.weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+
+    def value(self, w: np.ndarray, b: float) -> float:
+        z = np.clip(self.x.dot(w) + b, -40, 40)
+        change = self.left.dot(w) - self.right.dot(w)
+        mean = float((change**2).mean()) if len(change) else 0.0
+        return float((self.weight * (np.log1p(np.exp(z)) - self.labels * z)).sum() + self.ridge / 2 * (w @ w) + self.penalty * mean)
+
+    def gradient(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        g = self.weight * (1 / (1 + np.exp(-np.clip(self.x.dot(w) + b, -40, 40))) - self.labels)
+        grad = self.x.t_dot(g) + self.ridge * w
+        if self.left.shape[0]:
+            change = 2 * self.penalty / self.left.shape[0] * (self.left.dot(w) - self.right.dot(w))
+            grad = grad + self.left.t_dot(change) - self.right.t_dot(change)
+        return grad, float(g.sum())
+
+
+def fit_sample(sample: list[Labelled | tuple[str, int]], penalty: float = PENALTY, ridge: float = 2e-3, rounds: int = 300) -> Model:
+    """sample: of labelled(), or (text, label 0 or 1). penalty: weight of the counterfactual term."""
+    rows = [r if isinstance(r, Labelled) else labelled(*r) for r in sample]
+    sets, labels = [r.words for r in rows], np.array([r.label for r in rows], float)
     ones = float(labels.sum())
     share = ones / len(labels) if len(labels) else 0.0
     if not 0 < share < 1:
@@ -114,23 +208,19 @@ def fit_sample(sample: list[tuple[str, int]], penalty: float = 1.0, ridge: float
             # Only features of label 1: their lack, not other words, speaks for label 0.
             if z > 2.5:
                 scored.append((-z, f))
-    pairs = [p for t, _ in sample for p in counterfactuals(t)]
     chosen = [f for _, f in sorted(scored)[:MAX_FEATURES]]
-    named = sorted({f for a, b in pairs for w in a ^ b for f in features_of(w)} - set(chosen))
-    place = {f: k for k, f in enumerate([*chosen, *named])}
-    if not place:
+    if not chosen:
         return Model({}, float(np.log(share / (1 - share))))
+    pairs = pairs_of(rows)
+    named = sorted({"=" + w for a, b in pairs for w in a ^ b if w in KIND} - set(chosen))
+    place = {f: k for k, f in enumerate([*chosen, *named])}
     x, left, right = _Rows(sets, place), _Rows([a for a, _ in pairs], place), _Rows([b for _, b in pairs], place)
-    weight = np.where(labels == 1, 0.5 / ones, 0.5 / zeros)
+    loss = Loss(x, labels, left, right, penalty, ridge)
     w, b = np.zeros(len(place)), 0.0
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for step in range(1, rounds + 1):
-        g = weight * (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) - labels)
-        grad = x.t_dot(g) + ridge * w
-        if pairs:
-            change = 2 * penalty / len(pairs) * (left.dot(w) - right.dot(w))
-            grad = grad + left.t_dot(change) - right.t_dot(change)
-        full = np.append(grad, g.sum())
+        grad, own = loss.gradient(w, b)
+        full = np.append(grad, own)
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -152,16 +242,27 @@ def _place(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("toxicity")), F.lit(1 << 40)) / float(1 << 40)
 
 
-def labelled_sample(labelled: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """labelled: id, text, label. At most per_class rows of each label, those of
-    least hashed id; texts that are null or above MAX_TRAIN_BYTES are left out."""
-    rows = labelled.where(F.octet_length(text_col) <= MAX_TRAIN_BYTES)
-    found = drawn_labels(rows, per_class, id_col, label_col).select(_place(id_col).alias("place"), text_col, label_col).collect()
+def labelled_sample(df: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[Labelled]:
+    """df: id, text, label. At most per_class rows of each label, those of least
+    hashed id; null texts are left out. Texts stay with the executors."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, text, label in zip(*(c for c in batch.columns)):
+                row = labelled(text.as_py(), label.as_py())
+                own = [" ".join(sorted(row.words))], [[" ".join(sorted(n)) for n in row.named]], [" ".join(sorted(row.plain))]
+                yield pa.RecordBatch.from_arrays([pa.array([place.as_py()], pa.float64()), pa.array([row.label], pa.int32()), *(pa.array(x, t) for x, t in zip(own, kinds))], names=["place", "label", "words", "named", "plain"])
+
+    kinds = [pa.string(), pa.list_(pa.string()), pa.string()]
+    drawn = drawn_labels(df.where(F.col(text_col).isNotNull()), per_class, id_col, label_col)
+    rows = drawn.select(_place(id_col).alias("place"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
+    found = rows.mapInArrow(run, "place double, label int, words string, named array<string>, plain string").collect()
     seen, sample = {0: 0, 1: 0}, []
-    for _, text, label in sorted(found, key=lambda r: (r[0], r[1], r[2])):
+    for _, label, words, named, plain in sorted(found, key=lambda r: (r[0], r[2], r[1], r[3], r[4])):
         seen[label] += 1
         if seen[label] <= per_class:
-            sample.append((text, label))
+            sample.append(Labelled(set(words.split()), label, [set(n.split()) for n in named], set(plain.split())))
     return sample
 
 

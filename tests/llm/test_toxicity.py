@@ -32,6 +32,43 @@ def test_counterfactual_penalty_lowers_scores_of_neutral_mentions():
     assert fair.logit(tx.words_of("you vilegit")) > 0
 
 
+def test_default_penalty_does_not_raise_texts_that_name_no_group():
+    free, fair = tx.fit_sample(sample(), penalty=0.0), tx.fit_sample(sample())
+    said = lambda m, term: m.logit(tx.words_of(f"A {term} family lives next door."))
+    for term in ("muslim", "christian", "musulmans", "frau"):
+        assert abs(said(fair, term) - said(fair, "large")) < 0.3 and said(fair, term) < 0
+    assert said(free, "muslim") > 0 and said(fair, "large") < -0.5
+
+
+def test_terms_not_found_do_not_score_by_their_first_letters():
+    rows = [("they said muskox here again. and so it goes on.", 1), ("they said nothing here again. and so it goes on.", 0)] * 40
+    free, fair = tx.fit_sample(rows, penalty=0.0), tx.fit_sample(rows)
+    change = lambda m: m.logit({"muslim", "here"}) - m.logit({"large", "here"})
+    assert change(free) > 0.5 and abs(change(fair)) < 0.25 * change(free) and fair.logit({"muskox"}) > 0
+
+
+def test_gradient_against_differences():
+    rows = [tx.labelled(t, y) for t, y in sample(40)]
+    pairs = tx.pairs_of(rows)
+    place = {f: k for k, f in enumerate(sorted({f for r in rows for w in r.words for f in tx.features_of(w)} | {"=" + t for t in tx.KIND}))}
+    parts = [tx._Rows(x, place) for x in ([r.words for r in rows], [a for a, _ in pairs], [b for _, b in pairs])]
+    loss = tx.Loss(parts[0], np.array([r.label for r in rows], float), parts[1], parts[2], 3.0, 0.01)
+    rng = np.random.default_rng(1)
+    w, b = rng.normal(0, 0.3, len(place)), 0.2
+    # The loss, word by word.
+    logit = lambda words, bias: bias + sum(w[place[f]] for x in words for f in tx.features_of(x) if f in place)
+    n1 = sum(r.label for r in rows)
+    plain = sum((0.5 / n1 if r.label else 0.5 / (len(rows) - n1)) * np.log(1 + np.exp(-logit(r.words, b) if r.label else logit(r.words, b))) for r in rows)
+    plain += 0.005 * float(w @ w) + 3.0 * sum((logit(a, 0) - logit(c, 0)) ** 2 for a, c in pairs) / len(pairs)
+    assert np.isclose(loss.value(w, b), plain)
+    grad, own = loss.gradient(w, b)
+    for k in rng.choice(len(place), 40, replace=False):
+        step = np.zeros(len(place))
+        step[k] = 1e-5
+        assert np.isclose(grad[k], (loss.value(w + step, b) - loss.value(w - step, b)) / 2e-5, atol=1e-6)
+    assert np.isclose(own, (loss.value(w, b + 1e-5) - loss.value(w, b - 1e-5)) / 2e-5, atol=1e-6)
+
+
 def test_swaps_stay_within_their_kind():
     pairs = tx.counterfactuals("Gay people live here. No name here! MUSLIM and woman.")
     assert all(len(a - b) == len(b - a) == 1 and tx.KIND[(a - b).pop()] == tx.KIND[(b - a).pop()] for a, b in pairs)
