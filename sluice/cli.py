@@ -27,6 +27,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--include", help="patterns, separated by commas")
     p.add_argument("--exclude", help="patterns, separated by commas")
     p.add_argument("--dedup-columns", metavar="A-B", help="range of columns from 0")
+    p.add_argument("-M", "--max-memory", help="taken and ignored: Spark has its own limits")
+    p.add_argument("--file-type", help="taken and ignored: files are told by their content")
+    p.add_argument("--smart-io", action="store_true", default=None, help="taken and ignored: Spark splits files")
     for name, kind in VALUES.items():
         p.add_argument(*([SHORT[name]] if name in SHORT else []), f"--{name}", type=kind)
     for name in FLAGS:
@@ -51,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         spec = spec_of(args)
         if args.detect:
-            for row in profiles_table(spark, expand_inputs(args.inputs, spec.recursive, spec.pattern), spec.compat).collect():
+            for row in profiles_table(spark, expand_inputs(args.inputs, spec.recursive, spec.pattern, spark=spark), spec.compat).collect():
                 print(", ".join(f"{k}: {v}" for k, v in row.asDict().items()))
             return 0
         if not args.output:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that count as white space.
@@ -156,13 +157,24 @@ def usable(pattern: str) -> bool:
     return True
 
 
+def checked(pattern: str) -> str:
+    """The pattern, or an error if Java can't compile it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:
+            raise ValueError(f"bad pattern {pattern!r}: {e}") from None
+    return pattern
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Whether a filter pattern matches: a glob found anywhere or equal to the
     whole text with literal brackets; a plain pattern found as a regular
     expression or as a literal. `re:` before a pattern makes it an expression."""
     flag = "(?i)" if ignore_case else ""
     if pattern.startswith("re:"):
-        return c.rlike(flag + pattern[3:])
+        return c.rlike(flag + checked(pattern[3:]))
     if is_glob(pattern):
         search, whole = glob_search(pattern), wildcard(pattern)
         if "[" not in pattern and "]" not in pattern:

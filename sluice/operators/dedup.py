@@ -42,8 +42,8 @@ def deduplicated(lines: DataFrame, spec: DedupSpec, order: list[str], column: st
     rank = lambda by: F.row_number().over(Window.partitionBy("_key").orderBy(*by))
     if keep == "last_in_place":
         first = keyed.withColumn("_n", rank(order)).where("_n = 1").drop("_n", column)
-        last = keyed.withColumn("_n", rank(down)).where("_n = 1").select("_key", column)
-        return first.join(last, "_key").select(lines.columns)
+        last = keyed.withColumn("_n", rank(down)).where("_n = 1").select(F.col("_key").alias("_last_key"), column)
+        return first.join(last, F.col("_key").eqNullSafe(F.col("_last_key"))).select(lines.columns)
     return keyed.withColumn("_n", rank(down if keep == "last" else order)).where("_n = 1").select(lines.columns)
 
 

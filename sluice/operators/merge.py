@@ -20,13 +20,23 @@ from .filters import condition
 ORDER = ["o1", "o2", "o3"]
 #: Lines of a file that carry a timestamp forward within one task.
 BLOCK = 100_000
+#: Estimated bytes of a table that is numbered in one task.
+SMALL = 8 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The size that Spark expects of df, from its sources' sizes; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq", partitions: int | None = None) -> DataFrame:
     """Adds the rank of each row in the order, from 1: rows are range-partitioned
     and sorted, and a partition starts after the rows of those before it. They
     are kept in the shared folder in between, since ranges are drawn by sampling
-    and must not be drawn twice."""
+    and must not be drawn twice. What Spark estimates at SMALL bytes at most is
+    numbered in one task, and nothing is written."""
+    if estimated_bytes(df) <= SMALL:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = kept(placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "numbered")

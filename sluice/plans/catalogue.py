@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import encodings, sniff, text
 from ..functions.timestamps import iso_text, timestamp_of
 from ..operators import dedup, filters, join, merge, profile
+from ..sources.lines import lines_of
 from ..spec import DedupSpec, FilterSpec, MergeSpec, TimestampSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,10 +99,35 @@ def _joined(how: str, customers_left: bool = True) -> Query:
 
 _C = "concat_ws(',', c_custkey, c_name, c_mktsegment)"
 _O = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus)"
-for _name, _how, _sql in [("join_inner", "inner", "JOIN"), ("join_left", "left", "LEFT JOIN")]:
-    query(_name, f"SELECT c_custkey AS left_no, o_orderkey AS right_no, {_C} || ',' || CASE WHEN o_orderkey IS NULL THEN ',,' ELSE {_O} END AS content FROM customer {_sql} orders ON c_custkey = o_custkey")(_joined(_how))
-for _name, _how, _sql in [("join_right", "right", ""), ("join_full", "full", ""), ("join_right_observed", "right_anti", "WHERE o_orderkey IS NULL")]:
-    query(_name, f"SELECT o_orderkey AS left_no, c_custkey AS right_no, CASE WHEN o_orderkey IS NULL THEN ',,' ELSE {_O} END || ',' || CASE WHEN c_custkey IS NULL THEN ',,' ELSE {_C} END AS content FROM orders {'FULL' if _how == 'full' else 'RIGHT'} JOIN customer ON c_custkey = o_custkey {_sql}")(_joined(_how, False))
+query("join_inner", f"SELECT c_custkey AS left_no, o_orderkey AS right_no, {_C} || ',' || {_O} AS content FROM customer JOIN orders ON c_custkey = o_custkey")(_joined("inner"))
+
+
+def _outer(how: str, customers_left: bool) -> Query:
+    """Some customers and orders have keys that the other side lacks, and some are
+    too short to have a key."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c, o = _table(spark, d, "customer"), _table(spark, d, "orders")
+        key = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
+        c = c.select(F.col("c_custkey").alias("line_no"), F.when(F.col("c_custkey") % 11 == 0, F.array("c_name")).otherwise(F.array(F.col("c_name"), key, F.col("c_mktsegment"))).alias("fields"))
+        key, number = F.when(F.col("o_orderkey") % 17 == 0, F.concat(F.lit("y"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string")), F.col("o_orderkey").cast("string")
+        o = o.select(F.col("o_orderkey").alias("line_no"), F.when(F.col("o_orderkey") % 13 == 0, F.array(number)).otherwise(F.array(number, key, F.col("o_orderstatus"))).alias("fields"))
+        rows = join.joined(*((c, o) if customers_left else (o, c)), 1, 1, how, 3, 3)
+        return rows.select("left_no", "right_no", text.csv_line(F.col("fields")).alias("content"))
+
+    return run
+
+
+_OUTER = """WITH c AS (SELECT c_custkey AS no, k, CASE WHEN k IS NULL THEN c_name ELSE concat_ws(',', c_name, k, c_mktsegment) END AS line
+  FROM (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey ELSE c_custkey::VARCHAR END AS k FROM customer)),
+o AS (SELECT o_orderkey AS no, k, CASE WHEN k IS NULL THEN o_orderkey::VARCHAR ELSE concat_ws(',', o_orderkey, k, o_orderstatus) END AS line
+  FROM (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'y' || o_custkey ELSE o_custkey::VARCHAR END AS k FROM orders))
+SELECT l.no AS left_no, r.no AS right_no, coalesce(l.line, ',,') || ',' || coalesce(r.line, ',,') AS content FROM """
+for _name, _how, _left, _sql in [
+    ("join_left", "left", True, "c l LEFT JOIN o r ON l.k = r.k"), ("join_right", "right", False, "o l RIGHT JOIN c r ON l.k = r.k"), ("join_full", "full", False, "o l FULL JOIN c r ON l.k = r.k"),
+    ("join_right_observed", "right_anti", False, "o l RIGHT JOIN c r ON l.k = r.k WHERE l.no IS NULL"),
+]:
+    query(_name, _OUTER + _sql)(_outer(_how, _left))
 
 
 @query("join_ragged", """
@@ -126,10 +152,11 @@ def join_then_filter(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- timestamps ------------------------------------------------------------
 def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two logs; their lines' numbers are the tables' keys, since only order counts."""
     ms = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
-    a = _file(_table(spark, d, "events"), ["event_id"], F.concat(ms, F.lit(" [INFO] "), "event_type"), 0)
-    b = _file(_table(spark, d, "orders"), ["o_orderkey"], F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z order "), F.col("o_orderkey").cast("string")), 1)
-    return a.union(b)
+    a = lines_of(_table(spark, d, "events"), F.col("event_id"), F.concat(ms, F.lit(" [INFO] "), "event_type"), 0)
+    b = lines_of(_table(spark, d, "orders"), F.col("o_orderkey"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z order "), F.col("o_orderkey").cast("string")), 1)
+    return a.union(b).withColumn("is_header", F.lit(False))
 
 
 @query("ts_sort_iso", """
@@ -183,7 +210,16 @@ def _deduplicated(spec: DedupSpec) -> Query:
 _FIRST = "SELECT doc_id, line_no, content FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id {way}, line_no {way}) AS n FROM lines) WHERE n = 1"
 _ASCII_LOWER = "translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 query("dedup_line", f"WITH {_LINES} {_FIRST.format(key='content', way='')}")(_deduplicated(DedupSpec("line")))
-query("dedup_line_ci", f"WITH {_LINES} {_FIRST.format(key=_ASCII_LOWER, way='')}")(_deduplicated(DedupSpec("line", ignore_case=True)))
+_SHOUTED = "shouted AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE content END AS content FROM lines)"
+
+
+@query("dedup_line_ci", f"WITH {_LINES}, {_SHOUTED} {_FIRST.format(key=_ASCII_LOWER, way='').replace('FROM lines', 'FROM shouted')}")
+def dedup_line_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line is in capitals."""
+    shouted = F.when(F.col("line_no") % 3 == 0, text.ascii_upper(F.col("content"))).otherwise(F.col("content"))
+    return dedup.deduplicated(_doc_lines(spark, d).withColumn("content", shouted), DedupSpec("line", ignore_case=True), ["doc_id", "line_no"])
+
+
 query("dedup_last", f"WITH {_LINES} {_FIRST.format(key='content', way='DESC')}")(_deduplicated(DedupSpec("line", "last")))
 query("dedup_last_in_place", f"""WITH {_LINES}, k AS (SELECT *, {_ASCII_LOWER} AS key FROM lines)
 SELECT min(doc_id * 1000000 + line_no) // 1000000 AS doc_id, min(doc_id * 1000000 + line_no) % 1000000 AS line_no, arg_max(content, doc_id * 1000000 + line_no) AS content FROM k GROUP BY key""")(_deduplicated(DedupSpec("line", "last_in_place", True)))
@@ -266,21 +302,15 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.size("back").cast("long").alias("n_fields"), ((F.get("back", F.lit(0)) == F.col("url")) & (F.get("back", F.lit(1)) == F.col("html"))).alias("same"), F.char_length("line").cast("long").alias("n_chars"))
 
 
-@query("csv_fields", f"""WITH {_LINES} SELECT doc_id, line_no, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ',')) END::BIGINT AS n_fields, CASE WHEN content <> '' THEN string_split(content, ',')[1] END AS first
-FROM lines WHERE NOT contains(content, '"')""")
+@query("csv_fields", f"""WITH {_LINES}, q AS (SELECT *, string_split(content, '"') AS p FROM lines),
+c AS (SELECT *, list_transform(p, lambda x, i: CASE WHEN i % 2 = 1 THEN length(x) - length(replace(x, ',', '')) ELSE 0 END) AS commas FROM q),
+e AS (SELECT *, coalesce(list_min(list_filter(range(1, len(p) + 1), lambda i: commas[i] > 0)), len(p)) AS j FROM c)
+SELECT doc_id, line_no, CASE WHEN content = '' THEN 0 ELSE 1 + list_sum(commas) END::BIGINT AS n_fields, CASE WHEN content <> '' THEN array_to_string(
+  list_transform(p[1:j], lambda x, i: CASE WHEN i = j AND commas[i] > 0 THEN split_part(x, ',', 1) WHEN i % 2 = 1 AND i > 1 AND i < j AND x = '' THEN '"' ELSE x END), '') END AS first FROM e""")
 def csv_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Of lines without quotes only, as its SQL splits them; csv_fields_all has every line."""
-    return _csv_fields(_doc_lines(spark, d).where(~F.col("content").contains('"')))
-
-
-@query("csv_fields_all")
-def csv_fields_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of every line, those with quotes too, whose fields a plain split can't tell."""
-    return _csv_fields(_doc_lines(spark, d))
-
-
-def _csv_fields(lines: DataFrame) -> DataFrame:
-    lines = lines.withColumn("f", text.csv_fields(F.col("content")))
+    """Of every line. In SQL, parts between quotes are inside quotes by turns, and an
+    empty part outside them stands for a doubled quote."""
+    lines = _doc_lines(spark, d).withColumn("f", text.csv_fields(F.col("content")))
     return lines.select("doc_id", "line_no", F.size("f").cast("long").alias("n_fields"), text.field(F.col("f"), 0).alias("first"))
 
 
@@ -336,22 +366,11 @@ def encode_utf16_len(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), (encodings.decoded(F.col("b"), "utf-16le") == F.col("text")).alias("same"))
 
 
-@query("utf8_valid", "SELECT doc_id, true AS valid, false AS cut_valid FROM documents WHERE strlen(text) > length(text)")
+@query("utf8_valid", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS valid, CASE WHEN text IS NOT NULL THEN false END AS cut_valid FROM documents")
 def utf8_valid(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with characters of more bytes: valid, and not so with a lone lead byte.
-    Its SQL leaves out texts of ASCII only; utf8_valid_all has every text."""
-    return _utf8_valid(_table(spark, d, "documents").where(F.octet_length("text") > F.char_length("text")))
-
-
-@query("utf8_valid_all", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS valid, CASE WHEN text IS NOT NULL THEN false END AS cut_valid FROM documents")
-def utf8_valid_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every text; nulls for null."""
-    return _utf8_valid(_table(spark, d, "documents"))
-
-
-def _utf8_valid(docs: DataFrame) -> DataFrame:
+    """Every text: valid, and not so with a lone lead byte; nulls for null."""
     b = F.col("text").cast("binary")
-    return docs.select("doc_id", encodings.is_valid_utf8(b).alias("valid"), encodings.is_valid_utf8(F.concat(b, F.lit(b"\xc3"))).alias("cut_valid"))
+    return _table(spark, d, "documents").select("doc_id", encodings.is_valid_utf8(b).alias("valid"), encodings.is_valid_utf8(F.concat(b, F.lit(b"\xc3"))).alias("cut_valid"))
 
 
 @query("gbk_roundtrip")

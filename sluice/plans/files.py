@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,14 @@ from ..operators import merge
 from ..operators.dedup import deduplicated
 from ..operators.filters import condition
 from ..sources import sinks
-from ..sources.files import expand_inputs
-from ..sources.lines import byte_counts, head_of, scan_bytes, scan_lines, with_header_mark
+from ..sources.files import expand_inputs, is_uri
+from ..sources.lines import byte_counts, head_of, scan_bytes, scan_lines, size_of, with_header_mark
 from ..spec import MergeSpec
 
 #: First bytes that format, delimiter and header are told by.
 HEAD = 65536
+#: Files whose first bytes are read at once.
+READERS = 16
 
 
 class MergeError(ValueError):
@@ -30,7 +33,8 @@ class MergeError(ValueError):
 def profiles(spark: SparkSession, paths: list[str], compat: str = "documented") -> list[Profile]:
     """Format, delimiter and header from the first bytes of each file; encodings
     from all bytes, in one job over the files that are longer."""
-    heads = [head_of(spark, p, HEAD) for p in paths]
+    with ThreadPoolExecutor(READERS) as pool:
+        heads = [*pool.map(lambda p: head_of(spark, p, HEAD), paths)]
     long = [p for p, head in zip(paths, heads) if len(head) == HEAD and not mark_of(head)]
     counts = byte_counts(spark, long) if long else {}
     known = [judged(counts[p]) if p in counts else None for p in paths]
@@ -45,7 +49,7 @@ def profiles_table(spark: SparkSession, paths: list[str], compat: str = "documen
     """One row per file: path, size, format, confidence, delimiter, has_header, width, encoding."""
     rows = []
     for path, p in zip(paths, profiles(spark, paths, compat)):
-        rows.append((path, os.path.getsize(path) if os.path.exists(path) else None, p.format, p.confidence, p.delimiter, p.has_header, p.width, p.encoding))
+        rows.append((path, size_of(spark, path), p.format, p.confidence, p.delimiter, p.has_header, p.width, p.encoding))
     return spark.createDataFrame(rows, "path string, size long, format string, confidence double, delimiter string, has_header boolean, width int, encoding string")
 
 
@@ -67,11 +71,11 @@ def _scan(spark: SparkSession, paths: list[str], found: list[Profile], spec: Mer
 
 def merge_files(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str | None = None) -> DataFrame:
     """The merged lines, with their places o1, o2, o3 (binary: whole files)."""
-    paths = expand_inputs(inputs, spec.recursive, spec.pattern, output)
+    paths = expand_inputs(inputs, spec.recursive, spec.pattern, output, spark)
     if not paths:
         raise MergeError("no input files")
     if spec.mode == "binary":
-        return merge.binary_parts(scan_bytes(spark, paths), [os.path.abspath(p) for p in paths])
+        return merge.binary_parts(scan_bytes(spark, paths), [p if is_uri(p) else os.path.abspath(p) for p in paths])
     found = profiles(spark, paths, spec.compat)
     if spec.mode == "conditional":
         return _joined(spark, paths, found, spec)

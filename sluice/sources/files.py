@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import filecmp
 import os
+import re
 import shutil
 import zlib
+from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
+from pyspark.sql import SparkSession
+
 
 def list_files(directory: str, pattern: str = "*", recursive: bool = False) -> list[str]:
     """Files whose names match, hidden ones and links included, in order."""
@@ -33,12 +37,45 @@ def list_directories(directory: str, recursive: bool = False) -> list[str]:
     return out
 
 
-def expand_inputs(inputs: list[str], recursive: bool = False, pattern: str = "*", output: str | None = None) -> list[str]:
+def is_uri(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is not None
+
+
+def remote_files(spark: SparkSession, item: str, recursive: bool = False, pattern: str = "*") -> Iterator[str]:
+    """Files of a URI that names a file, a directory or a glob in a directory, in
+    any of Hadoop's file systems; files of the local one by their plain paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(item)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def name(path) -> str:
+        return path.toUri().getPath() if path.toUri().getScheme() == "file" else path.toString()
+
+    def under(folder, pattern: str) -> Iterator[str]:
+        for status in fs.listStatus(folder):
+            if status.isDirectory():
+                if recursive:
+                    yield from under(status.getPath(), pattern)
+            elif fnmatchcase(status.getPath().getName(), pattern):
+                yield name(status.getPath())
+
+    if fs.exists(at):
+        status = fs.getFileStatus(at)
+        if status.isDirectory():
+            yield from under(at, pattern)
+        else:
+            yield name(status.getPath())
+    elif at.getParent() is not None and fs.exists(at.getParent()):
+        yield from under(at.getParent(), at.getName())
+
+
+def expand_inputs(inputs: list[str], recursive: bool = False, pattern: str = "*", output: str | None = None, spark: SparkSession | None = None) -> list[str]:
     """Files of files, directories and globs, sorted and without repeats; never
-    the output file."""
+    the output file. With a session, URIs of any file system that Spark reads."""
     found: set[str] = set()
     for item in inputs:
-        if os.path.isfile(item):
+        if spark is not None and is_uri(item):
+            found.update(remote_files(spark, item, recursive, pattern))
+        elif os.path.isfile(item):
             found.add(item)
         elif os.path.isdir(item):
             found.update(list_files(item, pattern, recursive))

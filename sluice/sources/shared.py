@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,13 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this process only
-    where it is unset, which does for local sessions."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one of
+    this process in a local session, and an error on a cluster, whose executors
+    don't share the driver's folders."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (there or _own_dir()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -15,10 +15,17 @@ KEEPS = {"first": "first", "last": "last", "last_in_place": "last_in_place", "al
 TIMES = {"auto": "auto", "unix": "unix", "iso8601": "iso8601", "iso": "iso8601", "rfc2822": "rfc2822", "rfc": "rfc2822", "custom": "custom"}
 
 
-def chosen(names: dict[str, str], name: str) -> str:
+#: Options taken and ignored: sizes and strategies that Spark chooses itself.
+IGNORED = ("max_memory", "max_memory_buffer", "chunk_size", "strategy", "file_type", "smart_io", "keep_original_headers", "preserve_headers")
+
+
+def chosen(names: dict[str, str], name: str, otherwise: str | None = None) -> str:
+    """The option that a name stands for; of unknown names otherwise, or an error."""
     try:
         return names[name.strip().lower()]
     except KeyError:
+        if otherwise is not None:
+            return otherwise
         raise ValueError(f"unknown option {name!r}; there are {sorted(set(names))}") from None
 
 
@@ -75,11 +82,13 @@ class MergeSpec:
 
     @classmethod
     def from_options(cls, options: dict[str, object]) -> MergeSpec:
-        """From flat options, named as the command line's; names not known are errors."""
-        o = dict(options)
+        """From flat options, named as the command line's; names not known are errors,
+        as are unknown values but for modes and duplicates' keys in observed compatibility."""
+        o = {k: v for k, v in options.items() if k not in IGNORED}
+        lenient = o.get("compat") == "observed"
         pick = lambda record, **names: record(**{k: o.pop(n) for k, n in names.items() if n in o})
         if "dedup" in o:
-            o["dedup"] = chosen(DEDUP_KEYS, str(o["dedup"]))
+            o["dedup"] = chosen(DEDUP_KEYS, str(o["dedup"]), "line" if lenient else None)
         if "dedup_keep" in o:
             o["dedup_keep"] = chosen(KEEPS, str(o["dedup_keep"]))
         if "time_format" in o:
@@ -90,7 +99,7 @@ class MergeSpec:
             "timestamp": pick(TimestampSpec, kind="time_format", column="time_column", delimiter="time_delimiter", pattern="time_pattern", epoch_ms="epoch_ms", honor_tz="honor_tz"),
         }
         if "mode" in o:
-            o["mode"] = chosen(MODES, str(o["mode"]))
+            o["mode"] = chosen(MODES, str(o["mode"]), "sequential" if lenient else None)
         if "join_type" in o:
             o["join_type"] = chosen(JOINS, str(o["join_type"]))
         if "delimiter" in o:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import cli
-from sluice.functions import encodings
+from sluice.functions import encodings, text
 from sluice.operators import dedup, join, merge, profile
 from sluice.plans import files as plans
 from sluice.sources import files, lines, sinks
@@ -238,3 +238,36 @@ def test_byte_classes():
     assert encodings.decodes("😀".encode("utf-16-le"), "utf16le") and not encodings.decodes(b"\x00\xd8", "utf16le") and not encodings.decodes(b"\xc0\x80", "utf8")
     assert encodings.is_ascii(b"a") and encodings.could_be_latin1(b"\xe9") and not encodings.could_be_latin1(b"\x85") and encodings.could_be_gbk("名字".encode("gbk"))
     assert encodings.looks_binary(b"a\0") and not encodings.looks_binary(b"text\n")
+
+
+def test_inputs_of_other_file_systems(spark, folder, tmp_path_factory):
+    out = tmp_path_factory.mktemp("out") / "o.txt"
+    inputs = folder(a__csv="name,age\nAlice,25\nBob,30\n", b__csv="name,age\nEve,32\n")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.other.link./in", f"file://{folder.path}")
+    want = "name,age\nAlice,25\nBob,30\nEve,32\n"
+    assert files.expand_inputs([f"file://{folder.path}"], spark=spark) == sorted(inputs)
+    for given in (["viewfs://other/in/*.csv"], ["viewfs://other/in"], ["viewfs://other/in/b.csv", "viewfs://other/in/a.csv"], [f"file://{folder.path}/*.csv"]):
+        assert merged(spark, given, out, mode="seq") == want
+    assert [r["size"] for r in plans.profiles_table(spark, ["viewfs://other/in/a.csv"]).collect()] == [len("name,age\nAlice,25\nBob,30\n")]
+    assert files.expand_inputs(["viewfs://other/in/*.txt"], spark=spark) == []
+
+
+def test_ignored_and_unknown_options():
+    assert MergeSpec.from_options({"mode": "seq", "max_memory": "1G", "file_type": "csv", "smart_io": True}) == MergeSpec()
+    assert MergeSpec.from_options({"mode": "nonsense", "dedup": "nonsense", "compat": "observed"}) == MergeSpec(dedup=DedupSpec("line"), compat="observed")
+    with pytest.raises(ValueError, match="unknown option"):
+        MergeSpec.from_options({"mode": "nonsense"})
+
+
+def test_last_in_place_keeps_null_lines(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "A"), (4, None)], "n long, content string")
+    got = dedup.deduplicated(df, DedupSpec("line", "last_in_place", ignore_case=True), ["n"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "A"), (2, None)]
+
+
+def test_bad_expressions_are_told_at_once(spark):
+    df = spark.createDataFrame([("a1",)], "content string")
+    assert df.where(text.matches(F.col("content"), r"re:\p{L}\d")).count() == 1
+    with pytest.raises(ValueError, match="bad pattern"):
+        text.matches(F.col("content"), "re:(")
