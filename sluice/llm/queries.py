@@ -8,8 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import bpe, langid, media, mixing, quality_rules, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import bucket_of, kept, table
 
@@ -77,7 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_telephony": op9_telephony,
         "op10_language_id": op10_language_id,
-        "pipeline": corpus_pipeline.run,
     }
 
 
