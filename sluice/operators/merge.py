@@ -21,7 +21,7 @@ ORDER = ["o1", "o2", "o3"]
 #: Lines of a file that carry a timestamp forward within one task.
 BLOCK = 100_000
 #: Estimated bytes of a table that is numbered in one task.
-SMALL = 8 << 20
+SMALL = 1 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
