@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from .plans.files import MergeError, merge_to_file, profiles_table
 from .sources.files import expand_inputs
+from .sources.lines import size_of
 from .spec import MergeSpec
 
 #: Options that the specification has, with the type of their values.
@@ -60,8 +61,11 @@ def main(argv: list[str] | None = None) -> int:
         if not args.output:
             raise ValueError("an output is needed")
         began = time.time()
-        counts = merge_to_file(spark, args.inputs, spec, args.output)
-        print(", ".join(f"{k}: {v}" for k, v in counts.items()) + f", seconds: {time.time() - began:.1f}")
+        inputs = expand_inputs(args.inputs, spec.recursive, spec.pattern, args.output, spark)
+        read = sum(size_of(spark, p) for p in inputs)
+        counts = {"n_files": len(inputs), "n_bytes_read": read} | merge_to_file(spark, args.inputs, spec, args.output)
+        took = time.time() - began
+        print(", ".join(f"{k}: {v}" for k, v in counts.items()) + f", seconds: {took:.1f}, MB a second: {read / 1e6 / took:.1f}")
         return 0
     except (ValueError, MergeError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,5 +163,46 @@ def encoded(text: Column, encoding: str) -> Column:
     return _udf(name, False)(text)
 
 
+def _known(name: str) -> str:
+    if name not in NAMES.values() and not named(name):
+        raise ValueError(f"cannot convert: there is no encoding {name!r}")
+    return named(name) or name
+
+
+def converted(data: bytes, source: str, target: str, strict: bool = False) -> tuple[bytes, int, bool]:
+    """Bytes in another encoding, what was lost (bytes that are not valid,
+    characters that target lacks) and whether that is a success. What is lost
+    becomes U+FFFD or a question mark; strict leaves it out and is no success.
+    Equal encodings change nothing; encodings not known are an error."""
+    a, b = _known(source), _known(target)
+    if a == b:
+        return data, 0, True
+    lost = 0
+
+    def told(e: UnicodeError) -> tuple[str, int]:
+        nonlocal lost
+        lost += e.end - e.start
+        mark = "\ufffd" if isinstance(e, UnicodeDecodeError) else "?" * (e.end - e.start)
+        return "" if strict else mark, e.end
+
+    name = f"sluice-{threading.get_ident()}"
+    codecs.register_error(name, told)
+    out = data.decode(a, name).encode(b, name)
+    return out, lost, not (strict and lost)
+
+
+def converted_column(content: Column, source: str, target: str, strict: bool = False) -> Column:
+    """converted() of a binary column: output, n_lost, success; null for null."""
+    source, target = _known(source), _known(target)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            made = [(None, None, None) if x is None else converted(bytes(x), source, target, strict) for x in s]
+            yield pd.DataFrame({"output": [m[0] for m in made], "n_lost": pd.array([m[1] for m in made], "Int64"), "success": pd.array([m[2] for m in made], "boolean")})
+
+    struct = F.pandas_udf(run, "output binary, n_lost long, success boolean")(content)
+    return F.when(content.isNotNull(), struct)
+
+
 def is_valid_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))

@@ -126,9 +126,21 @@ def is_glob(pattern: str) -> bool:
     return any(c in pattern for c in "*?[]")
 
 
-def glob_search(pattern: str) -> str:
+def observed_class(inner: str) -> str:
+    """A class whose members are rewritten as outside of it: * adds a point, ? is
+    a point, and signs, ^ included, stand for themselves; an empty one is never found."""
+    if not inner:
+        return "(?!)"
+    rewritten = inner.replace("*", ".*").replace("?", ".")
+    return "[" + "".join(c if c == "-" or c.isalnum() else quoted(c) for c in rewritten) + "]"
+
+
+def glob_search(pattern: str, compat: str = "documented") -> str:
     """A glob as a Java pattern to search for: * any run, ? one character,
-    brackets a class as they stand."""
+    brackets a class as they stand (observed: as observed_class rewrites it)."""
+    if compat == "observed":
+        parts = re.split(r"\[([^\]]*)\]", pattern)
+        return "".join(observed_class(p) if k % 2 else glob_search(p) for k, p in enumerate(parts))
     out, inside = "", False
     for c in pattern:
         if c in "[]":
@@ -168,7 +180,7 @@ def checked(pattern: str) -> str:
     return pattern
 
 
-def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
+def matches(c: Column, pattern: str, ignore_case: bool = False, compat: str = "documented") -> Column:
     """Whether a filter pattern matches: a glob found anywhere or equal to the
     whole text with literal brackets; a plain pattern found as a regular
     expression or as a literal. `re:` before a pattern makes it an expression."""
@@ -176,7 +188,7 @@ def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     if pattern.startswith("re:"):
         return c.rlike(flag + checked(pattern[3:]))
     if is_glob(pattern):
-        search, whole = glob_search(pattern), wildcard(pattern)
+        search, whole = glob_search(pattern, compat), wildcard(pattern)
         if "[" not in pattern and "]" not in pattern:
             return c.rlike(flag + search)
         anchored = c.rlike(flag + whole)
@@ -214,6 +226,26 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(file_name(path), r"(\.[^.]*)\z", 1)
 
 
+def is_absolute(path: Column) -> Column:
+    return path.startswith("/")
+
+
+def combined_path(left: Column, right: Column) -> Column:
+    """right below left; right alone where it is absolute or left is empty."""
+    inside = F.concat(F.rtrim(left, F.lit("/")), F.lit("/"), right)
+    return F.when(is_absolute(right) | (left == ""), right).when(right == "", left).otherwise(inside)
+
+
+def normal_path(path: Column) -> Column:
+    """Without empty and . parts, and with .. taken back where a part is before
+    it; . where nothing is left of a relative path."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    back = lambda done: (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("")) != "..")
+    step = lambda done, x: F.when(x != "..", F.array_append(done, x)).when(back(done), F.slice(done, 1, F.size(done) - 1)).when(is_absolute(path), done).otherwise(F.array_append(done, x))
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(is_absolute(path), F.concat(F.lit("/"), kept)).when(kept == "", F.lit(".")).otherwise(kept)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_extract(file_name(path), r"^(.*?)(?:\.[^.]*)?\z", 1)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +90,23 @@ def timestamp_of(line: Column, kind: str = "auto", column: int = -1, delimiter:
     return {"unix": lambda: unix_time(text, epoch_ms), "iso8601": lambda: iso_time(text), "rfc2822": lambda: rfc_time(text, honor_tz), "custom": lambda: custom_time(text, pattern)}[kind]()
 
 
+#: Parts of strftime patterns as parts of Spark's.
+PARTS = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "F": "yyyy-MM-dd", "T": "HH:mm:ss"}
+
+
+def formatted(ts: Column, pattern: str) -> Column:
+    """ts by a strftime pattern, in the session's time zone."""
+    out = []
+    for part in re.findall(r"%.|[^%]+|%", pattern, re.S):
+        if part[0] != "%" or part in ("%%", "%"):
+            out.append(F.lit("%" if part == "%%" else part))
+        elif part[1] in PARTS:
+            out.append(F.date_format(ts, PARTS[part[1]]))
+        else:
+            raise ValueError(f"unknown part {part!r} of a time pattern")
+    return F.concat(*out) if out else F.when(ts.isNotNull(), F.lit(""))
+
+
 def iso_text(ts: Column) -> Column:
     """UTC text with milliseconds only where there are some."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

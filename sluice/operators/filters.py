@@ -16,11 +16,11 @@ def is_comment(c: Column, prefix: str = "#") -> Column:
     return trim_left(c).startswith(prefix)
 
 
-def any_match(c: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:
-    return reduce(or_, (matches(c, p, ignore_case) for p in patterns if p), F.lit(False))
+def any_match(c: Column, patterns: tuple[str, ...], ignore_case: bool = False, compat: str = "documented") -> Column:
+    return reduce(or_, (matches(c, p, ignore_case, compat) for p in patterns if p), F.lit(False))
 
 
-def condition(c: Column, spec: FilterSpec) -> Column:
+def condition(c: Column, spec: FilterSpec, compat: str = "documented") -> Column:
     """Whether a line stays."""
     stays = F.lit(True)
     if spec.skip_blank:
@@ -28,9 +28,9 @@ def condition(c: Column, spec: FilterSpec) -> Column:
     if spec.skip_comments:
         stays = stays & ~is_comment(c, spec.comment_prefix)
     if any(spec.include):
-        stays = stays & any_match(c, spec.include, spec.ignore_case)
+        stays = stays & any_match(c, spec.include, spec.ignore_case, compat)
     if any(spec.exclude):
-        stays = stays & ~any_match(c, spec.exclude, spec.ignore_case)
+        stays = stays & ~any_match(c, spec.exclude, spec.ignore_case, compat)
     return stays & spec.custom(c) if spec.custom else stays
 
 

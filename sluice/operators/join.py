@@ -28,13 +28,15 @@ def rows_of(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     return lines.where("content <> ''").select("line_no", csv_fields(F.col("content"), delimiter).alias("fields"))
 
 
-def joined(left: DataFrame, right: DataFrame, left_key: int, right_key: int, how: str = "inner", left_width: int = 0, right_width: int = 0) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, left_key: int, right_key: int, how: str = "inner", left_width: int = 0, right_width: int = 0, keyless: bool = True) -> DataFrame:
     """left, right: line_no, fields. Returns left_no, right_no, fields; the order
-    is that of left_no, then right_no, rows of the right alone last."""
+    is that of left_no, then right_no, rows of the right alone last. keyless:
+    whether rows of the right without a key are among those."""
     if how not in HOWS:
         raise ValueError(f"unknown join {how!r}")
     l = left.select(F.col("line_no").alias("left_no"), F.col("fields").alias("lf"), field(F.col("fields"), left_key).alias("lk"))  # noqa: E741
     r = right.select(F.col("line_no").alias("right_no"), F.col("fields").alias("rf"), field(F.col("fields"), right_key).alias("rk"))
+    r = r if keyless else r.where("rk is not null")
     both = l.join(r, F.col("lk") == F.col("rk"), HOWS[how])
     if how == "right_anti":
         both = both.where("left_no is null")

@@ -108,7 +108,7 @@ def merged(lines: DataFrame, spec: MergeSpec) -> DataFrame:
         placed = one_header(interleaved(lines, spec.chunk), spec.header)
     else:
         placed = one_header(sequential(lines), spec.header)
-    rows = placed.where(F.col("is_header") | condition(F.col("content"), spec.filter))
+    rows = placed.where(F.col("is_header") | condition(F.col("content"), spec.filter, spec.compat))
     if spec.dedup.key == "none":
         return rows
     body = deduplicated(rows.where(~F.col("is_header")), spec.dedup, ORDER, compat=spec.compat)

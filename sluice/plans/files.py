@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,17 +86,29 @@ def merge_files(spark: SparkSession, inputs: list[str], spec: MergeSpec, output:
     return merge.merged(with_header_mark(lines, {k for k, p in enumerate(found) if p.has_header}), spec)
 
 
+def _as_bytes(text: str, encoding: str = "utf-8") -> str:
+    """A text's bytes in an encoding as the characters of Latin-1."""
+    return text.encode(named(encoding) or encoding, "replace").decode("latin-1")
+
+
 def _joined(spark: SparkSession, paths: list[str], found: list[Profile], spec: MergeSpec) -> DataFrame:
     if len(paths) < 2:
         raise MergeError("a join needs two files")
+    observed = spec.compat == "observed"
+    if observed:  # bytes pass through: each is a character on the way
+        found = [replace(p, header=[_as_bytes(x, p.encoding) for x in p.header], encoding="latin-1") for p in found]
+        lines = replace(spec.filter, include=tuple(map(_as_bytes, spec.filter.include)), exclude=tuple(map(_as_bytes, spec.filter.exclude)), comment_prefix=_as_bytes(spec.filter.comment_prefix))
+        spec = replace(spec, source_encoding="latin-1", filter=lines, key=_as_bytes(spec.key) if isinstance(spec.key, str) else spec.key)
     rows, keys = [], []
     for k in (0, 1):
         lines = _scan(spark, [paths[k]], [found[k]], spec).where(F.col("line_no") > int(found[k].has_header))
         rows.append(joins.rows_of(lines, found[k].delimiter))
         keys.append(joins.key_index(spec.key, found[k].header))
-    how = "right_anti" if spec.compat == "observed" and spec.join_type == "right" else spec.join_type
-    out = joins.joined_lines(joins.joined(*rows, *keys, how, found[0].width, found[1].width), spec.delimiter)
-    out = out.where(condition(F.col("content"), spec.filter))
+    if observed and rows[1].isEmpty():
+        raise MergeError("the second file has no rows")
+    how = "right_anti" if observed and spec.join_type == "right" else spec.join_type
+    out = joins.joined_lines(joins.joined(*rows, *keys, how, found[0].width, found[1].width, keyless=not observed), spec.delimiter)
+    out = out.where(condition(F.col("content"), spec.filter, spec.compat))
     out = deduplicated(out, spec.dedup, merge.ORDER, compat=spec.compat)
     if spec.header and found[0].has_header:
         head = spark.range(1).select(F.lit(-1).cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"), F.lit(0).cast("long").alias("o3"), joins.combined_header(found[0].header, found[1].header, spec.delimiter).alias("content"))
@@ -109,6 +122,6 @@ def merge_to_file(spark: SparkSession, inputs: list[str], spec: MergeSpec, outpu
     tell = progress or (lambda _: None)
     out = merge_files(spark, inputs, spec, output)
     tell("planned")
-    counts = {"n_bytes": sinks.write_bytes(out, output)} if spec.mode == "binary" else sinks.write_file(out, merge.ORDER, output, spec.target_encoding)
+    counts = {"n_bytes": sinks.write_bytes(out, output)} if spec.mode == "binary" else sinks.write_file(out, merge.ORDER, output, "latin-1" if spec.mode == "conditional" and spec.compat == "observed" else spec.target_encoding)
     tell("written")
     return counts

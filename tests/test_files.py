@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import cli
-from sluice.functions import encodings, text
+from sluice.functions import encodings, text, timestamps
 from sluice.operators import dedup, join, merge, profile
 from sluice.plans import files as plans
 from sluice.sources import files, lines, sinks
@@ -271,3 +271,60 @@ def test_bad_expressions_are_told_at_once(spark):
     assert df.where(text.matches(F.col("content"), r"re:\p{L}\d")).count() == 1
     with pytest.raises(ValueError, match="bad pattern"):
         text.matches(F.col("content"), "re:(")
+
+
+def test_observed_joins_lose_keyless_rows_of_the_second_file(spark, folder):
+    inputs = folder(l__csv="1,a\n2,b\n", r__csv="x,1\nz,3\nlone\n")
+    rows = [joined_rows(spark, inputs, how, keyless) for how in ("full", "right_anti") for keyless in (True, False)]
+    assert rows == [["1,a,x,1", "2,b", "z,3", "lone"], ["1,a,x,1", "2,b", "z,3"], ["z,3", "lone"], ["z,3"]]
+    with pytest.raises(plans.MergeError, match="no rows"):
+        plans.merge_files(spark, folder(a__csv="1,a\n", e__csv=""), MergeSpec(mode="conditional", compat="observed"))
+
+
+def joined_rows(spark, inputs, how, keyless):
+    l, r = (join.rows_of(lines.scan_lines(spark, [p])) for p in inputs)  # noqa: E741
+    out = join.joined(l, r.withColumn("line_no", F.col("line_no") + 10), 0, 1, how, keyless=keyless)
+    return [",".join(x.fields) for x in out.orderBy(F.coalesce("left_no", "right_no")).collect()]
+
+
+def test_observed_joins_pass_bytes_through(spark, folder):
+    left, right = "名字,k\n李雷,1\n韩梅,2\n".encode("gbk"), "k,城\n1,北京\n2,巴黎\n".encode()
+    inputs, out = folder(l__csv=left, r__csv=right), folder.path / "o.txt"
+    options = {"mode": "join", "key": "k", "exclude": ("巴黎",)}
+    plans.merge_to_file(spark, inputs, MergeSpec.from_options(options | {"compat": "observed"}), str(out))
+    assert out.read_bytes() == "名字,k,".encode("gbk") + "k,城\n".encode() + "李雷,1,".encode("gbk") + "1,北京\n".encode()
+    plans.merge_to_file(spark, inputs, MergeSpec.from_options(options), str(out))
+    assert out.read_text() == "名字,k,k,城\n李雷,1,1,北京\n"
+
+
+@pytest.mark.parametrize("pattern, line, documented, observed", [("x[^a]y", "xby", True, False), ("x[^a]y", "x^y", True, True), ("x[*]y", "x.y", False, True), ("x[?]y", "x?y", True, False), ("x[?]y", "x.y", False, True), ("x[a-c]y", "1xby2", True, True), ("x[]y", "1x[]y", False, False), ("x[]y", "x[]y", True, True)])
+def test_globs_with_brackets(spark, pattern, line, documented, observed):
+    df = spark.createDataFrame([(line,)], "content string")
+    for compat, want in (("documented", documented), ("observed", observed)):
+        assert df.where(text.matches(F.col("content"), pattern, compat=compat)).count() == want, compat
+
+
+def test_strict_conversion(spark):
+    bad = "é".encode() + b"\xff\xfe" + "李".encode()
+    assert encodings.converted(bad, "utf-8", "latin-1") == (b"\xe9???", 5, True)  # two bytes, two marks and a sign that Latin-1 lacks
+    assert encodings.converted(bad, "utf-8", "latin-1", strict=True) == (b"\xe9", 3, False)
+    assert encodings.converted(bad, "utf8", "utf-8", strict=True) == (bad, 0, True)
+    assert encodings.converted("李雷".encode(), "utf-8", "gbk", strict=True) == ("李雷".encode("gbk"), 0, True)
+    with pytest.raises(ValueError, match="cannot convert"):
+        encodings.converted(b"", "what", "utf-8")
+    df = spark.createDataFrame([(1, bytearray(bad)), (2, None), (3, bytearray())], "n int, b binary")
+    got = df.select("n", encodings.converted_column(F.col("b"), "utf-8", "latin-1", True).alias("c")).orderBy("n").select("c").collect()
+    assert [c and (bytes(c.output), c.n_lost, c.success) for (c,) in got] == [(b"\xe9", 3, False), None, (b"", 0, True)]
+
+
+def test_paths_and_time_patterns(spark):
+    paths = {"/a/./b//../c": "/a/c", "../a/../..": "../..", "/..": "/", "a/..": ".", "": ".", "a/b/": "a/b"}
+    df = spark.createDataFrame([*paths.items()], "p string, want string")
+    assert df.where(text.normal_path(F.col("p")) == F.col("want")).count() == len(paths)
+    both = spark.createDataFrame([("a/", "b", "a/b"), ("a", "/b", "/b"), ("", "b", "b"), ("a", "", "a"), ("/", "b", "/b")], "l string, r string, want string")
+    assert both.where(text.combined_path(F.col("l"), F.col("r")) == F.col("want")).count() == 5
+    at = F.lit("2024-03-05 07:08:09").cast("timestamp")
+    shown = spark.range(1).select(timestamps.formatted(at, "%d/%b/%Y %H:%M:%S 100%% it's"), timestamps.formatted(at, "%F %I%p %j")).first()
+    assert tuple(shown) == ("05/Mar/2024 07:08:09 100% it's", "2024-03-05 07AM 065")
+    with pytest.raises(ValueError, match="unknown part"):
+        timestamps.formatted(at, "%Q")
