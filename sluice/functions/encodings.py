@@ -204,5 +204,15 @@ def converted_column(content: Column, source: str, target: str, strict: bool = F
     return F.when(content.isNotNull(), struct)
 
 
+def detected(content: Column) -> Column:
+    """detect() of a binary column: encoding and confidence; null for null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([(None, None) if x is None else detect(bytes(x)) for x in s], columns=["encoding", "confidence"])
+
+    return F.when(content.isNotNull(), F.pandas_udf(run, "encoding string, confidence double")(content))
+
+
 def is_valid_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))

@@ -341,7 +341,8 @@ def classify_fields(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("k").agg(*(F.count_if(F.col(f"is_{c}")).alias(f"n_{c}") for c in ("numeric", "boolean", "datetime", "null")))
 
 
-@query("format_detect")
+@query("format_detect", """SELECT * FROM (VALUES ('nation.csv', 'csv', 0.9::DOUBLE, ',', true, 3), ('region', 'tsv', 0.7, chr(9), false, 2), ('events.log', 'log', 0.9, ',', false, 0), ('props', 'json', 0.7, ',', false, 0))
+AS t(name, format, confidence, delimiter, has_header, width)""")
 def format_detect(spark: SparkSession, d: str) -> DataFrame:
     """What the sniffer makes of tables rendered as files (their first lines)."""
     rendered = {
@@ -377,7 +378,10 @@ def gbk_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("b").alias("n_bytes"), F.crc32("b").alias("crc32"), encodings.decoded(F.col("b"), "gbk").alias("back"))
 
 
-@query("crc32_docs")
+@query("crc32_docs", """
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+d AS (SELECT doc_id, hex(text) AS h, strlen(text) AS n FROM documents)
+SELECT doc_id, xor(list_reduce(list_transform(range(n), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc32 FROM d, tab""")
 def crc32_docs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", text.crc32_of(F.col("text").cast("binary")).alias("crc32"))
 

@@ -37,11 +37,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A folder of its own in the shared one, not made yet; deleted when Python ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def kept(df: DataFrame, what: str = "table") -> DataFrame:
     """df written as a table in the shared folder and read back, so that a lost
     executor costs no more than the tasks that it ran. Deleted when Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

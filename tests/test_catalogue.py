@@ -8,6 +8,7 @@ import pytest
 
 from sluice.functions import sniff
 from sluice.operators import merge
+from sluice.plans import file_queries  # noqa: F401  (registers queries)
 from sluice.plans.catalogue import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
