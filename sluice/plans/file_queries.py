@@ -7,13 +7,11 @@ folder; queries that end in one file need one that the driver sees as a path.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import encodings, sniff, text
+from ..functions import encodings, sniff, sniff_columns, text
 from ..functions.timestamps import formatted
 from ..operators import dedup, merge
 from ..sources import files, sinks
@@ -216,21 +214,13 @@ def detect_bytes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("p.encoding").alias("plain"), F.col("p.confidence").alias("plain_confidence"), F.col("m.encoding").alias("marked"), F.col("m.confidence").alias("marked_confidence"))
 
 
-def _udf(f, kind: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: None if x is None else f(x))
-
-    return F.pandas_udf(run, kind)
-
-
 _DELIMITERS = r"[',', chr(9), ' ', ':', ';', '|']"
 
 
 @query("delimiter_of_line", f"""WITH {_LINES}, n AS (SELECT doc_id, line_no, list_transform({_DELIMITERS}, lambda x: length(content) - length(replace(content, x, ''))) AS c FROM lines)
 SELECT doc_id, line_no, {_DELIMITERS}[list_position(c, list_max(c))] AS delimiter FROM n""")
 def delimiter_of_line(spark: SparkSession, d: str) -> DataFrame:
-    return _doc_lines(spark, d).select("doc_id", "line_no", _udf(sniff.delimiter_of_line, "string")(F.col("content")).alias("delimiter"))
+    return _doc_lines(spark, d).select("doc_id", "line_no", sniff_columns.delimiter_of_line(F.col("content")).alias("delimiter"))
 
 
 _CONFIDENCE = "CASE WHEN len({w}) = 0 THEN 0.0 WHEN len(list_distinct({w})) = 1 THEN CASE WHEN {w}[1] >= 2 THEN 0.9 ELSE 0.1 END WHEN list_max({w}) >= 2 THEN 0.5 + 0.3 * (1 - (len(list_distinct({w})) - 1)::DOUBLE / len({w})) ELSE 0.1 END::DOUBLE"
@@ -240,8 +230,8 @@ _CONFIDENCE = "CASE WHEN len({w}) = 0 THEN 0.0 WHEN len(list_distinct({w})) = 1
 SELECT doc_id, {_CONFIDENCE.format(w="w")} AS confidence FROM w""")
 def delimiter_confidence(spark: SparkSession, d: str) -> DataFrame:
     """How well spaces part the lines of each text, quotes taken out."""
-    score = _udf(lambda t: sniff.delimiter_confidence(t.replace('"', "").split("\n"), " "), "double")
-    return _table(spark, d, "documents").select("doc_id", score(F.col("text")).alias("confidence"))
+    lines = F.split(F.replace("text", F.lit('"'), F.lit("")), "\n", -1)
+    return _table(spark, d, "documents").select("doc_id", sniff_columns.delimiter_confidence(lines, " ").alias("confidence"))
 
 
 _DRESSED = """CASE doc_id % 6 WHEN 0 THEN '{"k": 1}' || chr(10) || text WHEN 1 THEN '<page>' || chr(10) || text WHEN 2 THEN replace('2024-01-02 03:04:05 ' || text, '. ', chr(10) || '2024-01-02 03:04:05 ')
@@ -260,7 +250,7 @@ def content_formats(spark: SparkSession, d: str) -> DataFrame:
     """What the first 30 lines (the sniffer's sample) of texts in six dresses, without quotes, are taken for."""
     dressed = F.expr(_DRESSED.replace("chr(10)", "'\\n'").replace("chr(9)", "'\\t'"))
     texts = _table(spark, d, "documents").where("text is not null").select("doc_id", F.replace(dressed, F.lit('"'), F.lit("")).alias("t"))
-    return texts.select("doc_id", _udf(lambda t: sniff.content_format(t.split("\n")[: sniff.SAMPLE]), "string")(F.col("t")).alias("format"))
+    return texts.select("doc_id", sniff_columns.content_format(F.slice(F.split("t", "\n", -1), 1, sniff.SAMPLE)).alias("format"))
 
 
 # ---- strings, paths and times ----------------------------------------------

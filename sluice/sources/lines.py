@@ -48,8 +48,9 @@ def scan_lines(spark: SparkSession, paths: list[str], encoding: str = "utf-8", k
     else:
         files = scan_bytes(spark, paths)
         text = decoded(F.col("content"), name)
-        lines = files.select("path", F.posexplode(F.split(text, "\n", -1)).alias("at", "content"), F.size(F.split(text, "\n", -1)).alias("n"))
-        lines = lines.where((F.col("at") + 1 < F.col("n")) | (F.col("content") != "")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "content")
+        # A file is split once, inside the generator: beside it, each line would split its file again.
+        whole = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+        lines = files.where(F.octet_length("content") > 0).select("path", F.posexplode(whole).alias("at", "content")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "content")
         content = F.col("content")
     content = F.when(F.col("line_no") == 1, F.regexp_replace(content, "^\ufeff", "")).otherwise(content)
     content = content if keep_cr else F.regexp_replace(content, r"\r\z", "")

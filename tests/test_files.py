@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import cli
-from sluice.functions import encodings, text, timestamps
+from sluice.functions import encodings, sniff, sniff_columns, text, timestamps
 from sluice.operators import dedup, join, merge, profile
 from sluice.plans import files as plans
 from sluice.sources import files, lines, sinks
@@ -328,3 +328,36 @@ def test_paths_and_time_patterns(spark):
     assert tuple(shown) == ("05/Mar/2024 07:08:09 100% it's", "2024-03-05 07AM 065")
     with pytest.raises(ValueError, match="unknown part"):
         timestamps.formatted(at, "%Q")
+
+
+def test_whole_file_is_split_once(spark, folder):
+    """A file in UTF-16 is split in the generator alone, not again beside each of its lines."""
+    (path,) = folder(x__txt="a\r\n\nb\n\n".encode("utf-16-le"))
+    df = lines.scan_lines(spark, [path], "utf-16-le")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.line_no, r.content) for r in df.orderBy("line_no").collect()] == [(1, "a"), (2, ""), (3, "b"), (4, "")]
+    (empty, blank) = folder(e__txt=b"", n__txt="\n".encode("utf-16-le"))
+    assert [(r.file_idx, r.line_no, r.content) for r in lines.scan_lines(spark, [empty, blank], "utf-16-le").collect()] == [(1, 1, "")]
+
+
+def test_headers_that_differ_are_told(spark):
+    with pytest.warns(UserWarning, match="some files only"):
+        merge.check_headers(["a,b", None])
+    with pytest.warns(UserWarning, match="another number of columns"):
+        merge.check_headers(["a,b", "a"])
+    with pytest.warns(UserWarning, match="other names"):
+        merge.check_headers(["a,b", "a,c"])
+
+
+def test_sniffing_and_detection_of_columns(spark):
+    rnd = random.Random(3)
+    data = [b"", b"a", "naïve".encode(), "名字".encode("gbk"), b"caf\xe9 ", "ab\n".encode("utf-16-be"), "名a".encode("utf-16-le"), b"\xff\xfea\0", b"\0", b"\x01\x02x\xc3\xa9", b"\xef\xbb\xbfx"]
+    data += [bytes(rnd.choices(range(256), [rnd.choice([1, 200]), *[1] * 127, *[rnd.choice([0, 3])] * 128], k=rnd.randrange(1, 40))) for _ in range(300)]
+    got = spark.createDataFrame([*enumerate(data), (-1, None)], "id int, b binary").select("id", encodings.detected(F.col("b")).alias("d")).collect()
+    want = {k: encodings.judged(encodings.counts_of(b), encodings.mark_of(b)) for k, b in enumerate(data)}
+    assert {r.id: r.d and tuple(r.d) for r in got} == want | {-1: None}
+    words = ["a,b", "a\tb,c", "", "  ", '{"a": [1', "]}", "<x>", "2024-01-02 03:04:05 x", "an error", '"a,b",c', "x;y", "[", "plain"]
+    samples = [[rnd.choice(words) for _ in range(rnd.randrange(1, 6))] for _ in range(300)]
+    rows = spark.createDataFrame([*enumerate(samples)], "id int, l array<string>")
+    out = rows.select("id", sniff_columns.content_format(F.col("l")).alias("f"), sniff_columns.delimiter_confidence(F.col("l"), ",").alias("c"), sniff_columns.delimiter_of_line(F.get("l", F.lit(0))).alias("d")).collect()
+    assert {r.id: (r.f, r.c, r.d) for r in out} == {k: (sniff.content_format(x), sniff.delimiter_confidence(x, ","), sniff.delimiter_of_line(x[0])) for k, x in enumerate(samples)}
