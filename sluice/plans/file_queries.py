@@ -15,7 +15,7 @@ from ..functions import encodings, sniff, sniff_columns, text
 from ..functions.timestamps import formatted
 from ..operators import dedup, merge
 from ..sources import files, sinks
-from ..sources.lines import scan_bytes, scan_lines
+from ..sources.lines import scan_lines
 from ..sources.shared import scratch_dir
 from ..spec import DedupSpec, MergeSpec
 from .catalogue import _LINES, _csv, _doc_lines, _table, query
@@ -178,11 +178,13 @@ def files_by_time(spark: SparkSession, d: str) -> DataFrame:
 @query("files_binary", f"""WITH {_LINES}, b AS (SELECT string_agg(content || chr(10), '' ORDER BY doc_id, line_no) AS t FROM lines WHERE content <> '')
 SELECT strlen(t)::BIGINT AS n_bytes, strlen(t)::BIGINT AS n_written, md5(t) AS md5 FROM b""")
 def files_binary(spark: SparkSession, d: str) -> DataFrame:
-    """Files put after one another as bytes."""
+    """Files put after one another as bytes; the result is of any size, so it is
+    read back in blocks."""
     there = _local(scratch_dir(spark, "bytes"))
     sinks.write_lines(_doc_lines(spark, d), ["doc_id", "line_no"], f"{there}/in")
-    written = merge_to_file(spark, _parts(spark, f"{there}/in"), MergeSpec.from_options({"mode": "binary"}), f"{there}/out")
-    return scan_bytes(spark, [f"{there}/out"]).select(F.octet_length("content").cast("long").alias("n_bytes"), F.lit(written["n_bytes"]).cast("long").alias("n_written"), F.md5("content").alias("md5"))
+    out = f"{there}/out"
+    written = merge_to_file(spark, _parts(spark, f"{there}/in"), MergeSpec.from_options({"mode": "binary"}), out)
+    return spark.createDataFrame([(os.path.getsize(out), written["n_bytes"], files.digest(out))], "n_bytes long, n_written long, md5 string")
 
 
 @query("files_summary", """WITH c AS (SELECT min(o_orderkey) || ',' || o_orderstatus || ',' || o_orderpriority AS x FROM orders GROUP BY o_orderstatus, o_orderpriority)

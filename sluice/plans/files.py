@@ -70,11 +70,17 @@ def _scan(spark: SparkSession, paths: list[str], found: list[Profile], spec: Mer
     return out
 
 
-def merge_files(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str | None = None) -> DataFrame:
-    """The merged lines, with their places o1, o2, o3 (binary: whole files)."""
+def _expanded(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str | None) -> list[str]:
     paths = expand_inputs(inputs, spec.recursive, spec.pattern, output, spark)
     if not paths:
         raise MergeError("no input files")
+    return paths
+
+
+def merge_files(spark: SparkSession, inputs: list[str], spec: MergeSpec, output: str | None = None) -> DataFrame:
+    """The merged lines, with their places o1, o2, o3 (binary: whole files, each a
+    row, so of less than 2 GB; merge_to_file copies files of any size)."""
+    paths = _expanded(spark, inputs, spec, output)
     if spec.mode == "binary":
         return merge.binary_parts(scan_bytes(spark, paths), [p if is_uri(p) else os.path.abspath(p) for p in paths])
     found = profiles(spark, paths, spec.compat)
@@ -120,8 +126,13 @@ def merge_to_file(spark: SparkSession, inputs: list[str], spec: MergeSpec, outpu
     """Writes the merge as one file; returns what was written. progress is told
     when the inputs are planned and when the output is written."""
     tell = progress or (lambda _: None)
-    out = merge_files(spark, inputs, spec, output)
-    tell("planned")
-    counts = {"n_bytes": sinks.write_bytes(out, output)} if spec.mode == "binary" else sinks.write_file(out, merge.ORDER, output, "latin-1" if spec.mode == "conditional" and spec.compat == "observed" else spec.target_encoding)
+    if spec.mode == "binary":
+        paths = _expanded(spark, inputs, spec, output)
+        tell("planned")
+        counts = {"n_bytes": sinks.write_bytes(spark, paths, output)}
+    else:
+        out = merge_files(spark, inputs, spec, output)
+        tell("planned")
+        counts = sinks.write_file(out, merge.ORDER, output, "latin-1" if spec.mode == "conditional" and spec.compat == "observed" else spec.target_encoding)
     tell("written")
     return counts

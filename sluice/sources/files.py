@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import filecmp
+import hashlib
 import os
 import re
 import shutil
@@ -139,5 +140,11 @@ def crc32(path: str) -> int:
     return value
 
 
+def digest(path: str, name: str = "md5") -> str:
+    """A digest of a file in lowercase hex, read in blocks."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, name).hexdigest()
+
+
 def same_files(left: str, right: str) -> bool:
     return filecmp.cmp(left, right, shallow=False)

@@ -5,13 +5,28 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encodings import NAMES, with_mark
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes inside go as each write ends, not when the driver's
+    heap is next cleaned, so that they don't lie beside what is made of the parts."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ordered_parts(lines: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """The output's lines, empty ones left out, so that files in the order of
     their names hold them in order; sorted by range, not in one task."""
@@ -23,7 +38,8 @@ def write_lines(lines: DataFrame, order: list[str], directory: str, partitions:
     """A folder of part files in order; returns n_lines and n_chars written."""
     seen = Observation("written")
     out = ordered_parts(lines, order, partitions).observe(seen, F.count("*").alias("n_lines"), F.coalesce(F.sum(F.char_length("content")), F.lit(0)).alias("n_chars"))
-    out.write.mode(mode).option("lineSep", "\n").text(directory)
+    with shuffles_dropped(lines.sparkSession):
+        out.write.mode(mode).option("lineSep", "\n").text(directory)
     return seen.get
 
 
@@ -52,11 +68,20 @@ def write_file(lines: DataFrame, order: list[str], path: str, encoding: str = "u
         shutil.rmtree(parts, ignore_errors=True)
 
 
-def write_bytes(parts: DataFrame, path: str) -> int:
-    """Whole files after one another, by seq; returns the bytes written. One
-    file at a time is on the driver."""
-    total = 0
-    with open(path, "wb") as out:
-        for row in parts.orderBy("seq").select("content").toLocalIterator():
-            total += out.write(row[0])
+def write_bytes(spark: SparkSession, paths: list[str], path: str) -> int:
+    """Files put after one another, in order; returns the bytes written. The driver
+    copies from any of Hadoop's file systems and holds a buffer only, so that a
+    file's size has no bound."""
+    jvm, total = spark._jvm, 0
+    out = jvm.java.io.FileOutputStream(os.path.abspath(path))
+    try:
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+            try:
+                total += stream.transferTo(out)
+            finally:
+                stream.close()
+    finally:
+        out.close()
     return total

@@ -1,5 +1,6 @@
 """Whole merges of files, scans, sinks, encodings, streams and the command line."""
 
+import hashlib
 import os
 import random
 import re
@@ -160,6 +161,20 @@ def test_listing_and_binary(spark, folder):
         plans.merge_files(spark, [str(folder.path / "no")], MergeSpec())
 
 
+def test_binary_merge_holds_no_file(spark, folder, monkeypatch):
+    """Files are copied, not read as rows: hidden ones, and one beyond what a row may hold."""
+    inputs = folder(a__bin=b"\x00\n\xff", _b__bin=b"", c__bin=b"x" * 300_001)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert plans.merge_to_file(spark, [inputs[2], f"file://{inputs[0]}", inputs[1]], MergeSpec(mode="binary"), str(folder.path / "out")) == {"n_bytes": 300_004}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert (folder.path / "out").read_bytes() == b"\x00\n\xff" + b"x" * 300_001
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == jobs
+    assert files.digest(str(folder.path / "out")) == hashlib.md5(b"\x00\n\xff" + b"x" * 300_001).hexdigest()
+
+
 def test_sink_appends_and_marks_once(spark, folder):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, ""), (4, "d")], "o long, content string")
     out = folder.path / "new" / "o.txt"
