@@ -355,6 +355,32 @@ def test_whole_file_is_split_once(spark, folder):
     assert [(r.file_idx, r.line_no, r.content) for r in lines.scan_lines(spark, [empty, blank], "utf-16-le").collect()] == [(1, 1, "")]
 
 
+@pytest.mark.parametrize("encoding", [*lines.FEEDS])
+@pytest.mark.parametrize("split", ["128m", "97", "64"])
+def test_wide_files_are_split(spark, folder, monkeypatch, encoding, split):
+    """No file of UTF-16 is a row; feeds across two characters end no line."""
+    rnd = random.Random(split)
+    contents = {f"f{k}__txt": "".join(rnd.choices(chars, k=900)) + end for k, (chars, end) in enumerate([("ab\n\r名", ""), ("a\n\nਅ一ĀĊ上", "\n"), ("上Ċ\n", "\n\n"), ("ਅ一", "x"), ("\n", "")])}
+    data = {n: encodings.with_mark(t.encode(encoding), encoding if n == "f0__txt" else "") for n, t in contents.items()}
+    data["empty__txt"] = b""
+    cut = b"\xef\xbb\xbf\x00" if encoding == "utf-16-le" else b"\xef\xbb\xbf\x4e"
+    if not encoding.startswith("utf-32"):  # starts with what would be a mark in UTF-8
+        data["g__txt"] = cut + "x\ny".encode(encoding)
+        contents["g__txt"] = cut.decode(encoding) + "x\ny"
+    paths = folder(**data)
+    want = [(k, n + 1, x.removesuffix("\r")) for k, name in enumerate(data) if contents.get(name) for n, x in enumerate(contents[name].removesuffix("\n").split("\n"))]
+    for size, most in ((-1, "1"), (1 << 20, "2147483647")):
+        monkeypatch.setattr(lines, "WHOLE", size)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", most)
+        try:
+            got = sorted((r.file_idx, r.line_no, r.content) for r in lines.scan_lines(spark, paths, encoding).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        assert got == want
+
+
 def test_headers_that_differ_are_told(spark):
     with pytest.warns(UserWarning, match="some files only"):
         merge.check_headers(["a,b", None])
