@@ -5,7 +5,8 @@ A media column holds a RIFF/WAVE file whose data chunk is the payload as it is:
 expands mu-law and A-law by lookup tables, decodes ADPCM blocks with numpy step
 by step across all blocks of a batch at once, and resamples to linear PCM of
 twice the rate by a fixed half-band filter in whole numbers, so that equal
-payloads give equal bytes everywhere.
+payloads give equal bytes everywhere. PCM is stored without loss as its even
+samples and the residual of the odd ones under that filter.
 
 Null texts count as empty; every payload has a block at least.
 """
@@ -28,6 +29,8 @@ from .common import frugal
 #: Format tags of WAVE files.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 RATE, BLOCK = 8000, 192
+#: Columns of packed PCM's even samples.
+EVEN = [f"even_{codec}" for codec in TAGS]
 #: Step changes of IMA ADPCM by the three low bits of a code.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 #: The 89 step sizes of IMA ADPCM.
@@ -37,8 +40,8 @@ STEPS = np.array([
     1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132,
     7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
 ])
-#: Samples decoded at once.
-CHUNK = 1_500_000
+#: Samples decoded at once, and rows of packed PCM.
+CHUNK, ROWS = 1_500_000, 64
 
 
 @lru_cache
@@ -111,17 +114,40 @@ def decode(codec: str, payloads: list[bytes]) -> list[np.ndarray]:
     return np.split(law_table(codec)[flat], np.cumsum([*map(len, payloads)])[:-1])
 
 
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Twice the rate: the samples, and between two of them their half-band
-    interpolation from three on each side (weights 3, -25, 150 of 256)."""
+def half_band(samples: np.ndarray) -> np.ndarray:
+    """What is between each sample and the next, from three on each side (weights
+    3, -25, 150 of 256)."""
     n = len(samples)
     if not n:
         return np.zeros(0, np.int16)
     x = np.pad(samples.astype(np.int32), 3, mode="edge")
     a, b, c, d, e, f = (x[k : k + n] for k in range(1, 7))
     between = 150 * (c + d) - 25 * (b + e) + 3 * (a + f)
-    out = np.empty(2 * n, np.int16)
-    out[0::2], out[1::2] = samples, np.clip(between + 128 >> 8, -32768, 32767)
+    return np.clip(between + 128 >> 8, -32768, 32767).astype(np.int16)
+
+
+def resample(samples: np.ndarray) -> np.ndarray:
+    """Twice the rate: the samples, and between two of them their half-band
+    interpolation."""
+    out = np.empty(2 * len(samples), np.int16)
+    out[0::2], out[1::2] = samples, half_band(samples)
+    return out
+
+
+def pack(pcm: np.ndarray) -> tuple[bytes, bytes]:
+    """Any PCM (int16) without loss, by linear prediction: its even samples, and
+    by how much the odd ones differ (modulo 65,536) from what is predicted from
+    those. What resample() adds is predicted, so that its PCM compresses well."""
+    even = pcm[0::2]
+    odd = pcm[1::2]
+    return even.astype("<i2").tobytes(), (odd - half_band(even)[: len(odd)]).astype("<i2").tobytes()
+
+
+def unpack(even: bytes, residual: bytes) -> np.ndarray:
+    """The PCM of pack()."""
+    x, r = np.frombuffer(even, "<i2").astype(np.int16), np.frombuffer(residual, "<i2").astype(np.int16)
+    out = np.empty(len(x) + len(r), np.int16)
+    out[0::2], out[1::2] = x, half_band(x)[: len(r)] + r
     return out
 
 
@@ -169,9 +195,11 @@ def _parts(media: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def media_features(df: DataFrame, id_col: str = "doc_id", with_pcm: bool = False) -> DataFrame:
+def media_features(df: DataFrame, id_col: str = "doc_id", with_pcm: bool = False, packed: bool = False) -> DataFrame:
     """Reads media_column's files back: digests of the payload, of the file and
-    of the resampled PCM, the feature and, if asked for, the PCM itself."""
+    of the resampled PCM, the feature and, if asked for, the PCM itself; packed:
+    as pack() has it, the even samples in a column for each codec (the others are
+    null), so that like lies by like, and the residual."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +221,33 @@ def media_features(df: DataFrame, id_col: str = "doc_id", with_pcm: bool = False
                     pa.array([*map(sha, part)]), pa.array([feature(c, pcm[k]) for k, (c, _) in enumerate(read)]), pa.array([*map(sha, data)]),
                 ]
                 start += len(part)
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(data, pa.binary())] * with_pcm, names=names)
+                columns += [pa.array(data, pa.binary())] * with_pcm
+                if packed:
+                    made = [pack(pcm[k]) for k in range(len(part))]
+                    columns += [pa.array([even if c == codec else None for (even, _), (c, _) in zip(made, read)], pa.binary()) for codec in TAGS]
+                    columns.append(pa.array([r for _, r in made], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"] + ["pcm"] * with_pcm
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"] + ["pcm"] * with_pcm + EVEN * packed + ["residual"] * packed
     schema = f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string"
-    return df.select(id_col, "n_bytes", "media").mapInArrow(run, schema + ", pcm binary" * with_pcm)
+    return df.select(id_col, "n_bytes", "media").mapInArrow(run, schema + ", pcm binary" * with_pcm + "".join(f", {c} binary" for c in [*EVEN, "residual"]) * packed)
+
+
+def unpacked(df: DataFrame, with_pcm: bool = False) -> DataFrame:
+    """Reads media_features' packed PCM back: pcm_sha256 is that of the PCM read
+    and, if asked for, the PCM comes instead of what it was packed in."""
+    rest = [c for c in df.columns if c not in (*EVEN, "residual", "pcm_sha256")]
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                data = [unpack(e.as_py(), r.as_py()).astype("<i2").tobytes() for e, r in zip(part.column(len(rest)), part.column(len(rest) + 1))]
+                columns = [*part.columns[: len(rest)], pa.array([hashlib.sha256(x).hexdigest() for x in data])]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(data, pa.binary())] * with_pcm, names=names)
+
+    names = [*rest, "pcm_sha256"] + ["pcm"] * with_pcm
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(*rest, F.coalesce(*EVEN), "residual").mapInArrow(run, f"{kinds}, pcm_sha256 string" + ", pcm binary" * with_pcm)

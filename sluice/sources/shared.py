@@ -44,10 +44,11 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
-def kept(df: DataFrame, what: str = "table") -> DataFrame:
+def kept(df: DataFrame, what: str = "table", options: dict[str, str] | None = None) -> DataFrame:
     """df written as a table in the shared folder and read back, so that a lost
-    executor costs no more than the tasks that it ran. Deleted when Python ends."""
+    executor costs no more than the tasks that it ran. Deleted when Python ends.
+    options are the writer's."""
     spark = df.sparkSession
     path = scratch_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import media
 
@@ -85,6 +86,30 @@ def test_documents(spark, codecs):
     assert rows[5].feature == rows[6].feature and rows[2].media_sha256 == rows[3].media_sha256
 
 
+def test_any_pcm_is_packed_without_loss():
+    rnd = random.Random(9)
+    for n in (0, 1, 2, 3, 7, 1000, 1001):
+        pcm = np.array([rnd.choice([-32768, 32767, rnd.randrange(-32768, 32768)]) for _ in range(n)], np.int16)
+        assert media.unpack(*media.pack(pcm)).tolist() == pcm.tolist()
+    added = media.resample(pcm)
+    even, residual = media.pack(added)
+    assert not any(residual) and media.unpack(even, residual).tolist() == added.tolist()
+
+
+def test_packed_pcm_is_read_back_from_what_is_stored(spark, tmp_path):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    stored = media.media_column(df)
+    media.media_features(stored, packed=True).write.parquet(str(tmp_path / "p"))
+    packed = spark.read.parquet(str(tmp_path / "p"))
+    want = media.media_features(stored, with_pcm=True)
+    got = media.unpacked(packed, with_pcm=True)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert media.unpacked(packed.drop("pcm_sha256")).columns == want.columns[:-1]
+    # A stored sample that differs changes what is read.
+    other = packed.withColumn("residual", F.concat(F.lit(b"\x01"), F.expr("substring(residual, 2)")))
+    assert media.unpacked(other).join(packed.select("doc_id", F.col("pcm_sha256").alias("h")), "doc_id").where("pcm_sha256 = h").count() == 0
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert media.media_features(media.media_column(empty)).count() == 0
